@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.text import file_slug
 from placelens.operators.ordered import block_of, ranked, running
+from placelens.session import staged
 
 _COUNTED = r"(?s)\A(.*)-([2-9]|[1-9][0-9]{1,17})\z"
 
@@ -90,13 +91,15 @@ def file_plan(
     stems = existing.filter(suffix).select(
         F.substring("filename", F.lit(1), F.length("filename") - len(ext)).alias("stem")
     )
-    first = free_filenames(name_counters(names, order), stems, order)
+    numbered = staged(name_counters(names, order), "numbered-names")
+    first = staged(free_filenames(numbered, stems, order), "first-names")
     owners = first.groupBy("stem").agg(F.min(order).alias("_owner"))
     owned = first.join(owners, "stem").withColumn("_kept", F.col(order) == F.col("_owner"))
     kept = owned.filter("_kept").drop("_owner", "_kept")
     moved = owned.filter(~F.col("_kept")).drop("_owner", "_kept", "stem", "n", "slug")
     used = stems.unionByName(first.select("stem").distinct())
-    second = free_filenames(name_counters(moved, order), used, order)
+    renumbered = staged(name_counters(moved, order), "moved-names")
+    second = free_filenames(renumbered, used, order)
     return (
         kept.unionByName(second)
         .withColumn("filename", F.concat(F.col("stem"), F.lit(ext)))

@@ -181,7 +181,7 @@ FROM card_html p LEFT JOIN card_html q ON q.conv_id = p.conv_id AND q.turn = p.t
 
 REQUESTS = """
 SELECT DISTINCT CAST(conv_id AS STRING) AS place_key,
- CASE conv_id % 4 WHEN 3 THEN NULL WHEN 2 THEN 'ChIJ' || conv_id ELSE '0X' || conv_id || ':0X1' END AS place_id
+ CASE conv_id % 4 WHEN 3 THEN NULL WHEN 2 THEN 'ChIJ' || conv_id ELSE '0x' || conv_id || ':0X1' END AS place_id
 FROM conversations
 """
 
@@ -209,7 +209,7 @@ def hint(c: str) -> str:
 # Raw reviews made into review rows, before invalid ones are dropped.
 SHAPED = f"""
 SELECT place_key, round, pos,
- CASE WHEN review_id <> '' THEN review_id ELSE left(sha256(concat(author, '|', publish_time, '|', rating, '|', coalesce(left(text, 50), ''))), 16) END AS review_id,
+ CASE WHEN review_id <> '' THEN review_id ELSE left(sha256(concat(coalesce(author, 'null'), '|', publish_time, '|', rating, '|', coalesce(left(text, 50), ''))), 16) END AS review_id,
  author, author_url, publish_time, rating, text,
  CASE WHEN coalesce(original_text, '') = '' AND coalesce(text, '') <> '' THEN text ELSE original_text END AS original_text,
  CASE WHEN coalesce(text, '') <> '' THEN {hint("(CASE WHEN coalesce(original_text, '') = '' THEN text ELSE original_text END)")} END AS original_language,

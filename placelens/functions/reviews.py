@@ -36,10 +36,11 @@ def review_id(given: Column, author: Column, time: Column, rating: Column, text:
     """The given id, or a hash of author, time, rating and the start of the text.
 
     The time text is relative ("a week ago"), so hash ids are not stable over
-    time.
+    time. Missing parts are written as ``null``; such rows are invalid anyway.
     """
     prefix = F.coalesce(utf16_prefix(text, V.ID_TEXT_PREFIX_UNITS), F.lit(""))
-    source = F.concat_ws("|", author, time, rating.cast("string"), prefix)
+    parts = [F.coalesce(c, F.lit("null")) for c in (author, time, rating.cast("string"))]
+    source = F.concat_ws("|", *parts, prefix)
     hashed = F.substring(F.sha2(source, 256), 1, V.ID_HEX_CHARS)
     return F.when(blank(given), hashed).otherwise(given)
 

@@ -103,16 +103,11 @@ def _code(facts: Column, r: Rule) -> Column:
 
 
 def _issues(facts: Column, rules, prefix: Column) -> Column:
-    found = [
-        F.when(
-            _code(facts, r).isNotNull(),
-            F.struct(
-                F.concat(prefix, F.lit(r.name)).alias("path"), _code(facts, r).alias("code")
-            ),
-        )
+    checked = [
+        F.struct(F.concat(prefix, F.lit(r.name)).alias("path"), _code(facts, r).alias("code"))
         for r in rules
     ]
-    return F.array_compact(F.array(*found))
+    return F.filter(F.array(*checked), lambda x: x["code"].isNotNull())
 
 
 def _one(path: Column, code: str) -> Column:

@@ -145,23 +145,27 @@ def header_rows(pages: DataFrame) -> DataFrame:
 
     A page without a name element is "Unknown"; an empty one stays empty.
     """
-    count = headers.first_count(
-        F.col("tab_text"), F.col("badge_text"), F.left("body_snippet", F.lit(V.BODY_SNIPPET_CHARS))
-    )
+    texts = dict(zip(V.COUNT_SOURCES, ("tab_text", "badge_text", "body_snippet")))
+    parsed = {
+        source: headers.review_count(F.left(c, F.lit(V.BODY_SNIPPET_CHARS)))
+        for source, c in texts.items()
+    }
+    first = headers.first_count({source: F.col(f"_{source}") for source in texts})
     return (
         pages.drop("cards")
         .withColumns(
             {
                 "name": F.coalesce("name", F.lit(V.UNKNOWN_NAME)),
                 "header_rating": headers.header_rating(F.col("rating_text")),
-                "_count": count,
+                **{f"_{source}": count for source, count in parsed.items()},
             }
         )
+        .withColumn("_count", first)
         .withColumns(
             {
                 "header_total_reviews": F.col("_count.value"),
                 "count_source": F.col("_count.source"),
             }
         )
-        .drop("_count")
+        .drop("_count", *[f"_{source}" for source in texts])
     )

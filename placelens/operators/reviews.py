@@ -46,4 +46,5 @@ def rejected_reviews(raw: DataFrame) -> DataFrame:
 
 def review_issue_rows(raw: DataFrame, *keys: str) -> DataFrame:
     """One row per broken rule of a typed review row: keys, path and code."""
-    return raw.select(*keys, F.explode(_issues()).alias("issue")).select(*keys, "issue.*")
+    issues = raw.select(*keys, F.explode_outer(_issues()).alias("issue"))
+    return issues.filter(F.col("issue").isNotNull()).select(*keys, "issue.*")

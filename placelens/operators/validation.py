@@ -197,10 +197,15 @@ def check_documents(documents: DataFrame, text: str = "value") -> DataFrame:
 
 
 def validate_documents(documents: DataFrame, *keys: str, text: str = "value") -> DataFrame:
-    """One row per broken rule: keys, dotted path and code."""
+    """One row per broken rule: keys, dotted path and code.
+
+    The outer explode keeps the optimizer from adding a filter on the array
+    below it, which would work out all rules once more per condition.
+    """
     return (
         check_documents(documents, text)
-        .select(*keys, F.explode("issues").alias("issue"))
+        .select(*keys, F.explode_outer("issues").alias("issue"))
+        .filter(F.col("issue").isNotNull())
         .select(*keys, "issue.*")
     )
 

@@ -1,7 +1,8 @@
 """Raw review rows to valid review rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placelens.functions import reviews as R
 
@@ -26,16 +27,30 @@ def _issues():
     )
 
 
+def _valid(raw: DataFrame) -> Column:
+    """The rules of ``review_issues`` as plain comparisons, which scans can push down.
+
+    The id needs no test: shaping never leaves it null.
+    """
+
+    def whole(name, low, high=None):
+        c = F.col(name)
+        test = (c >= low) if high is None else c.between(low, high)
+        fractional = isinstance(raw.schema[name].dataType, T.FractionalType)
+        return test & (c == F.floor(c)) if fractional else test
+
+    present = F.col("author").isNotNull() & F.col("publish_time").isNotNull()
+    return present & whole("rating", 0, 5) & whole("photos", 0)
+
+
 def normalise_reviews(raw: DataFrame) -> DataFrame:
     """Ids, original text, script hints and owner responses; invalid rows dropped.
 
     A rating of 0 (unreadable stars) is valid and stays. Columns of ``raw`` that
     are no part of a review (place, round, position, ..) pass through.
     """
-    return (
-        _shaped(raw)
-        .filter(F.size(_issues()) == 0)
-        .withColumns({"rating": F.col("rating").cast("int"), "photos": F.col("photos").cast("int")})
+    return _shaped(raw.filter(_valid(raw))).withColumns(
+        {"rating": F.col("rating").cast("int"), "photos": F.col("photos").cast("int")}
     )
 
 

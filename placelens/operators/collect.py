@@ -6,7 +6,7 @@ order-dependent work avoids one task per location.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
@@ -21,11 +21,12 @@ def _seen_order(df: DataFrame) -> list[str]:
     return [c for c in SEEN_ORDER if c in df.columns]
 
 
-def _seen_blocks():
-    return [F.col("round"), block_of(F.col("pos"))]
+def _seen_blocks(df: DataFrame) -> list[Column]:
+    """Blocks along the seen order: pages, and stretches of positions inside a page."""
+    return [*[F.col(c) for c in ("round", "pass_no") if c in df.columns], block_of(F.col("pos"))]
 
 
-def _order_by(df):
+def _order_by(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in _seen_order(df)]
 
 
@@ -50,12 +51,12 @@ def cap_per_location(reviews: DataFrame, max_reviews: int, rank: str = "ordinal"
     """First ``max_reviews`` rows of each location with their 1-based ordinal."""
     if max_reviews <= 0:
         raise ValueError("max_reviews must be positive")
-    return first_n(reviews, PLACE, _seen_blocks(), _order_by(reviews), max_reviews, rank)
+    return first_n(reviews, PLACE, _seen_blocks(reviews), _order_by(reviews), max_reviews, rank)
 
 
 def number_reviews(reviews: DataFrame, rank: str = "ordinal") -> DataFrame:
     """Ordinal of each review in collection order."""
-    return ranked(reviews, PLACE, _seen_blocks(), _order_by(reviews), rank)
+    return ranked(reviews, PLACE, _seen_blocks(reviews), _order_by(reviews), rank)
 
 
 def round_counts(rounds: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def order_reviews(reviews: DataFrame, order: str, rank: str = "ordinal") -> Data
     """
     key = _rating_key(order)
     return ranked(
-        reviews, PLACE, [*key, *_seen_blocks()], [*key, *_order_by(reviews)], rank
+        reviews, PLACE, [*key, *_seen_blocks(reviews)], [*key, *_order_by(reviews)], rank
     )
 
 
@@ -184,7 +185,7 @@ def top_n_reviews(reviews: DataFrame, order: str, n: int, rank: str = "ordinal")
     """First ``n`` reviews of each location under an order."""
     key = _rating_key(order)
     return first_n(
-        reviews, PLACE, [*key, *_seen_blocks()], [*key, *_order_by(reviews)], n, rank
+        reviews, PLACE, [*key, *_seen_blocks(reviews)], [*key, *_order_by(reviews)], n, rank
     )
 
 

@@ -59,7 +59,7 @@ def pending_locations(inputs: DataFrame, state: DataFrame) -> DataFrame:
     Duplicates within a run stay. The join strategy is left to the optimizer:
     it broadcasts the state only when its size is known to be small.
     """
-    return inputs.join(state.select("input").distinct(), "input", "left_anti")
+    return inputs.join(state.select("input"), "input", "left_anti")
 
 
 def verify_identity(

@@ -46,25 +46,29 @@ WANTED_INPUTS = """
 SELECT o_orderkey, 'https://maps.app.goo.gl/s' || o_custkey AS input FROM orders
 """
 
-# One raw review per user turn and a later, longer copy of it one round on.
-RAW_REVIEWS = f"""
+_COPY = f"""
 SELECT CAST(u.conv_id AS STRING) AS place_key, u.conv_id, u.turn,
- CAST(floor(u.turn / 2.0) AS INT) + c.copy_no AS round, u.turn * 2 - c.copy_no AS pos,
+ CAST(floor(u.turn / 2.0) AS INT) + {{copy}} AS round, u.turn * 2 - {{copy}} AS pos,
  CASE WHEN u.conv_id % 5 = 0 THEN '' ELSE md5(u.text) END AS review_id,
  CASE WHEN (u.conv_id + u.turn) % 13 = 0 THEN NULL ELSE 'Author ' || (u.conv_id % 11) END AS author,
  CASE WHEN u.conv_id % 3 = 0 THEN NULL ELSE 'https://example.org/contrib/' || u.conv_id END AS author_url,
  u.turn || ' weeks ago' AS publish_time,
  (u.conv_id + u.turn) % 8 - 1 AS rating,
- CASE WHEN u.conv_id % 7 = 2 THEN NULL WHEN c.copy_no = 1 THEN u.text || ' more' ELSE u.text END AS text,
+ CASE WHEN u.conv_id % 7 = 2 THEN NULL ELSE u.text || '{{more}}' END AS text,
  CASE WHEN u.conv_id % 7 IN (2, 3) THEN '{AR} ' || left(u.text, 3) WHEN u.conv_id % 7 = 4 THEN '' ELSE NULL END AS original_text,
  u.turn % 4 - CASE WHEN u.conv_id % 19 = 5 THEN 1 ELSE 0 END AS photos,
  a.text AS owner_response_text,
  CASE WHEN u.turn % 4 = 0 THEN '' ELSE 'a week ago' END AS owner_response_time
 FROM conversations u
-JOIN (SELECT 0 AS copy_no UNION ALL SELECT 1 AS copy_no) c ON c.copy_no = 0 OR u.turn > 1
 LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-WHERE u.role = 'user'
-"""
+WHERE u.role = 'user' AND u.turn >= {{first_turn}}
+"""
+# One raw review per user turn, and later, longer copies one round on.
+RAW_REVIEWS = (
+    _COPY.format(copy=0, more="", first_turn=0)
+    + " UNION ALL "
+    + _COPY.format(copy=1, more=" more", first_turn=2)
+)
 
 SCAN_ROWS = """
 SELECT CAST(l_suppkey AS STRING) AS place_key, l_linenumber AS round, l_orderkey AS pos,

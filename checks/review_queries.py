@@ -9,7 +9,7 @@ from placelens.functions import headers, text
 from placelens.functions import reviews as R
 from placelens.operators import assemble, collect, quality, validation
 from placelens.operators.reviews import normalise_reviews, rejected_reviews, review_issue_rows
-from placelens.session import scratch_path
+from placelens.session import scratch_path, staged
 from placelens.sinks import writers
 from placelens.sources import readers
 
@@ -143,8 +143,9 @@ def _ranked(order, n=None, columns="place_key, review_id, ordinal"):
     )
 
 
-def _seen(t):
-    return collect.dedup_first_seen(t.sql(B.SCAN_ROWS))
+def _seen(t, stored=False):
+    seen = collect.dedup_first_seen(t.sql(B.SCAN_ROWS))
+    return staged(seen, "seen") if stored else seen
 
 
 @query(
@@ -163,17 +164,17 @@ def cap_per_location(t):
 @query("cap_per_location_large", _ranked(SCAN_ORDER, 1500))
 def cap_per_location_large(t):
     """Beyond the pruning threshold, where the blockwise rank takes over."""
-    return collect.cap_per_location(_seen(t), 1500).select("place_key", "review_id", "ordinal")
+    return collect.cap_per_location(_seen(t, stored=True), 1500).select("place_key", "review_id", "ordinal")
 
 
 @query("order_reviews", _ranked(f"rating DESC, {SCAN_ORDER}"))
 def order_reviews(t):
-    return collect.order_reviews(_seen(t), "highest").select("place_key", "review_id", "ordinal")
+    return collect.order_reviews(_seen(t, stored=True), "highest").select("place_key", "review_id", "ordinal")
 
 
 @query("order_reviews_newest", _ranked(SCAN_ORDER))
 def order_reviews_newest(t):
-    return collect.order_reviews(_seen(t), "newest").select("place_key", "review_id", "ordinal")
+    return collect.order_reviews(_seen(t, stored=True), "newest").select("place_key", "review_id", "ordinal")
 
 
 @query("top_n_reviews", _ranked(f"rating, {SCAN_ORDER}", 5, "place_key, review_id, rating, ordinal"))
@@ -192,7 +193,7 @@ def top_n_reviews(t):
     ),
 )
 def extraction_progress(t):
-    return collect.extraction_progress(_seen(t)).select(
+    return collect.extraction_progress(_seen(t, stored=True)).select(
         "place_key", "round", "new_reviews", "total_reviews"
     )
 
@@ -230,26 +231,27 @@ def _headers(t):
     return t.sql(HEADERS)
 
 
-def _numbered(t):
-    return collect.number_reviews(collect.dedup_first_seen(normalise_reviews(_raw(t))))
+def _first_seen(t):
+    return staged(collect.dedup_first_seen(normalise_reviews(_raw(t))), "first-seen")
 
 
 def _documents(t):
-    return assemble.assemble_documents(_headers(t), _numbered(t), "newest")
+    return assemble.assemble_documents(_headers(t), _first_seen(t), "newest")
 
 
 @query(
     "collect_reviews",
     B.with_views(
-        """SELECT place_key, CAST((ordinal - 1) // 2 AS BIGINT) AS part_no, count(*) AS review_count,
-        string_agg(review_id, ',' ORDER BY ordinal) AS review_ids FROM numbered GROUP BY ALL""",
+        """SELECT place_key, CAST(before // 2 AS BIGINT) AS part_no, count(*) AS review_count,
+        string_agg(review_id, ',' ORDER BY ordinal) AS review_ids FROM (SELECT *, count(*) OVER (PARTITION BY place_key
+        ORDER BY round, pos // 2 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS before FROM numbered) GROUP BY ALL""",
         **DOC_VIEWS,
     ),
 )
 def collect_reviews(t):
     """Parts of two reviews, so that splitting a location is exercised too."""
     ids = F.transform("reviews", lambda r: r["id"])
-    return assemble.collect_reviews(_numbered(t), per_part=2).select(
+    return assemble.collect_reviews(_first_seen(t), per_part=2).select(
         "place_key", "part_no", F.size("reviews").cast("bigint").alias("review_count"),
         F.array_join(ids, ",").alias("review_ids"),
     )

@@ -4,10 +4,11 @@ The flat review table is the primary product. Documents are built at the end,
 in parts of bounded size, so that no array ever holds a whole hot location.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
+from placelens.operators.collect import seen_blocks, seen_order
 
 PLACE = ["place_key"]
 REVIEWS_PER_PART = 5000
@@ -29,16 +30,39 @@ def _review_struct():
     return F.struct(*[F.col(c).alias(n) for n, c in names.items()])
 
 
-def collect_reviews(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFrame:
-    """Reviews as ordered arrays: one row per (location, part) of ``per_part``.
+def review_parts(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFrame:
+    """Part number and size ``_n`` of each block: one row per location and block.
 
-    Needs the contiguous 1-based ``ordinal`` that capping or numbering adds.
+    A block goes to the part its first review falls in, so a part holds less
+    than ``per_part`` rows plus one block. Only block counts meet per location.
     """
-    part = F.floor((F.col("ordinal") - 1) / per_part)
-    entries = F.array_sort(F.collect_list(F.struct("ordinal", _review_struct().alias("review"))))
+    blocks = seen_blocks(reviews, per_part)
+    names = _block_names(reviews)
+    before = (
+        Window.partitionBy(*PLACE).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counts = (
+        reviews.withColumns(dict(zip(names, blocks)))
+        .groupBy(*PLACE, *names)
+        .agg(F.count("*").alias("_n"))
+    )
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return counts.withColumn("part_no", F.floor(earlier / per_part))
+
+
+def _block_names(reviews: DataFrame) -> list[str]:
+    return [f"_part{i}" for i in range(len(seen_blocks(reviews)))]
+
+
+def collect_reviews(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFrame:
+    """Reviews as arrays in collection order, one row per (location, part)."""
+    names = _block_names(reviews)
+    entry = F.struct(*seen_order(reviews), _review_struct().alias("review"))
     return (
-        reviews.groupBy(*PLACE, part.alias("part_no"))
-        .agg(entries.alias("_entries"))
+        reviews.withColumns(dict(zip(names, seen_blocks(reviews, per_part))))
+        .join(review_parts(reviews, per_part).drop("_n"), [*PLACE, *names])
+        .groupBy(*PLACE, "part_no")
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
         .select(
             *PLACE, "part_no", F.transform("_entries", lambda e: e["review"]).alias("reviews")
         )
@@ -76,16 +100,26 @@ def assemble_documents(
 
     A location without reviews gets a document with an empty array. Headers
     spread over (location, part) before the join, so the wide arrays stay where
-    the aggregation put them and a hot location's parts stay apart.
+    the aggregation put them and a hot location's parts stay apart. ``reviews``
+    is read three times, twice for keys only: hand in a stored table.
     """
     if sort_order not in V.SORT_ORDERS:
         raise ValueError(f"sort order must be one of {V.SORT_ORDERS}")
     c = F.col
-    n_parts = F.greatest(F.lit(1), F.ceil(c("total_reviews") / per_part)).cast("bigint")
-    heads = (
-        reconcile_counts(headers, reviews)
-        .withColumn("n_parts", n_parts)
-        .withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), c("n_parts") - 1)))
+    of_place = Window.partitionBy(*PLACE)
+    sizes = (
+        review_parts(reviews, per_part)
+        .groupBy(*PLACE, "part_no")
+        .agg(F.sum("_n").alias("_n"))
+        .select(
+            *PLACE,
+            "part_no",
+            F.sum("_n").over(of_place).alias("total_reviews"),
+            F.count("*").over(of_place).alias("n_parts"),
+        )
+    )
+    heads = headers.join(sizes, PLACE, "left").na.fill(
+        {"part_no": 0, "total_reviews": 0, "n_parts": 1}
     )
     parts = collect_reviews(reviews, per_part)
     business = F.struct(

@@ -10,24 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
-from placelens.operators.ordered import block_of, first_n, ranked, running
+from placelens.operators.ordered import BLOCK_ROWS, block_of, first_n, ranked, running
 
 PLACE = ["place_key"]
 SEEN_ORDER = ("round", "pass_no", "pos", "review_id")
 ROUNDS_PER_BLOCK = 1024
 
 
-def _seen_order(df: DataFrame) -> list[str]:
+def seen_order(df: DataFrame) -> list[str]:
     return [c for c in SEEN_ORDER if c in df.columns]
 
 
-def _seen_blocks(df: DataFrame) -> list[Column]:
+def seen_blocks(df: DataFrame, width: int = BLOCK_ROWS) -> list[Column]:
     """Blocks along the seen order: pages, and stretches of positions inside a page."""
-    return [*[F.col(c) for c in ("round", "pass_no") if c in df.columns], block_of(F.col("pos"))]
+    pages = [F.col(c) for c in ("round", "pass_no") if c in df.columns]
+    return [*pages, block_of(F.col("pos"), width)]
 
 
 def _order_by(df: DataFrame) -> list[Column]:
-    return [F.col(c) for c in _seen_order(df)]
+    return [F.col(c) for c in seen_order(df)]
 
 
 def dedup_first_seen(reviews: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def dedup_first_seen(reviews: DataFrame) -> DataFrame:
     The aggregate combines copies before its shuffle, and its key includes the
     id, so a hot location spreads over all tasks.
     """
-    order = [c for c in _seen_order(reviews) if c != "review_id"]
+    order = [c for c in seen_order(reviews) if c != "review_id"]
     rest = [c for c in reviews.columns if c not in (*PLACE, "review_id", *order)]
     first = F.min(F.struct(*order, *rest)).alias("_row")
     return (
@@ -51,12 +52,12 @@ def cap_per_location(reviews: DataFrame, max_reviews: int, rank: str = "ordinal"
     """First ``max_reviews`` rows of each location with their 1-based ordinal."""
     if max_reviews <= 0:
         raise ValueError("max_reviews must be positive")
-    return first_n(reviews, PLACE, _seen_blocks(reviews), _order_by(reviews), max_reviews, rank)
+    return first_n(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), max_reviews, rank)
 
 
 def number_reviews(reviews: DataFrame, rank: str = "ordinal") -> DataFrame:
-    """Ordinal of each review in collection order."""
-    return ranked(reviews, PLACE, _seen_blocks(reviews), _order_by(reviews), rank)
+    """Ordinal of each review in collection order. Reads ``reviews`` twice: store it first."""
+    return ranked(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), rank)
 
 
 def round_counts(rounds: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -173,11 +174,12 @@ def _rating_key(order: str):
 def order_reviews(reviews: DataFrame, order: str, rank: str = "ordinal") -> DataFrame:
     """Ordinal of each review under an order; captured order breaks rating ties.
 
-    ``newest`` and ``relevant`` are the captured order.
+    ``newest`` and ``relevant`` are the captured order. Reads ``reviews`` twice:
+    store an expensive one first.
     """
     key = _rating_key(order)
     return ranked(
-        reviews, PLACE, [*key, *_seen_blocks(reviews)], [*key, *_order_by(reviews)], rank
+        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], rank
     )
 
 
@@ -185,7 +187,7 @@ def top_n_reviews(reviews: DataFrame, order: str, n: int, rank: str = "ordinal")
     """First ``n`` reviews of each location under an order."""
     key = _rating_key(order)
     return first_n(
-        reviews, PLACE, [*key, *_seen_blocks(reviews)], [*key, *_order_by(reviews)], n, rank
+        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], n, rank
     )
 
 

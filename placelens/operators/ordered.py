@@ -33,6 +33,8 @@ def running(
 
     ``blocks`` must not decrease along ``order`` within a key; ``order`` must be
     total within (key, block) for a deterministic result. Keys must not be null.
+    ``df`` is read twice, once for the few columns of the block totals: hand in
+    a stored table where its plan is expensive.
     """
     sums, maxima = sums or {}, maxima or {}
     values = {**sums, **maxima}

@@ -90,11 +90,9 @@ def collect_places(
     rounds = staged(
         collect.round_counts(good.select(PLACE, "round", "loading"), first_seen), "rounds"
     )
-    kept = collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews))
-    if max_reviews is None:
-        reviews = collect.number_reviews(kept)
-    else:
-        reviews = collect.cap_per_location(kept, max_reviews)
+    reviews = collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews))
+    if max_reviews is not None:
+        reviews = staged(collect.cap_per_location(reviews, max_reviews), "capped")
     return Collected(_headers(good), reviews, rejected)
 
 

@@ -34,7 +34,7 @@ def documents(spark, counts, per_part=5000):
         HEADER,
     )
     rows = [raw_row(i, place_key=p) for p, (_, n) in counts.items() for i in range(n)]
-    reviews = normalise_reviews(raw(spark, rows)).withColumn("ordinal", F.col("pos") + 1)
+    reviews = normalise_reviews(raw(spark, rows))
     return assemble.assemble_documents(heads, reviews, "newest", per_part)
 
 
@@ -86,7 +86,7 @@ def test_csv_per_location_is_byte_exact(spark, tmp_path):
         raw_row(1, text="a\nb", original_text="مكان", photos=2, rating=0),
     ]
     heads = spark.createDataFrame([("p", "-N", None, "u", None, None, None, "d", 1), ("q", "Q", None, "u", None, None, None, "d", 1)], HEADER)
-    reviews = normalise_reviews(raw(spark, rows)).withColumn("ordinal", F.col("pos") + 1)
+    reviews = normalise_reviews(raw(spark, rows))
     docs = assemble.assemble_documents(heads, reviews, "lowest").withColumn("file_stem", F.col("place_key"))
     writers.write_output(docs, str(tmp_path / "c"), "csv", per_location=True)
     head = ("business_name,review_id,author,author_url,rating,publish_time,text,original_text,original_language,"

@@ -28,9 +28,8 @@ def _kinds(df):
     return {c: ("i" if str(t).lower().startswith(("int", "uint")) else str(t)) for c, t in df.dtypes.items()}
 
 
-def compare(spark, con, fn, sql, sf_dir):
+def compare(con, got_df, sql):
     """Empty text when equal, else what differs."""
-    got_df = fn(spark, sf_dir)
     types = dict(got_df.dtypes)
     got = _norm(got_df.toPandas())
     rel = con.sql(sql)
@@ -66,7 +65,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if name in oracles:
-                result = compare(spark, con, fn, oracles[name], sf_dir) or "ok"
+                result = compare(con, fn(spark, sf_dir), oracles[name]) or "ok"
             else:
                 result = f"rows {fn(spark, sf_dir).count()}"
         except Exception as e:  # noqa: BLE001

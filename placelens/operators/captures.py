@@ -69,7 +69,8 @@ def read_pages(
     config = {**V.DEFAULT_SELECTORS, **(selectors or {})}
     names = {k: v for k, v in config.items() if k.endswith("_attr")}
     compiled = {k: markup.compile_selector(v) for k, v in config.items() if k not in names}
-    settings = (compiled, names, V.BODY_SNIPPET_CHARS, V.SIGN_IN_TEXT)
+    keys_asked = markup.lookup_keys(compiled.values())
+    settings = (compiled, names, keys_asked, V.BODY_SNIPPET_CHARS, V.SIGN_IN_TEXT)
     wanted = [f for f in PAGE_FIELDS if fields is None or f.name in fields]
     wanted_names = [f.name for f in wanted]
     source = captures.select(*keys, "html")

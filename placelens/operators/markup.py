@@ -6,6 +6,7 @@ descendant spaces and comma lists.
 """
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 VOID_TAGS = frozenset(
@@ -25,18 +26,14 @@ _JS_SPACE = " \t\n\r\v\f\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".j
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """``index`` counts elements in document order, ``last`` ends the subtree."""
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("tag", "attrs", "parent", "children", "index", "last", "page")
 
-    def walk(self):
-        """Descendant elements in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
+    def __init__(self, tag, attrs, parent, index, page):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.index = self.last = index
+        self.page = page
 
     def text(self, skipped=frozenset()):
         out, stack = [], list(reversed(self.children))
@@ -49,19 +46,59 @@ class Element:
         return "".join(out)
 
 
+class ElementIndex:
+    """Elements of a page in document order, and where looked-up keys occur."""
+
+    def __init__(self, keys):
+        self.elements = []
+        self.places = {"tag": {}, "attr": {}, "class": {}}
+        for kind, name in keys:
+            self.places[kind][name] = []
+        self.tags, self.attrs, self.classes = self.places.values()
+
+    def add(self, node):
+        node.index = node.last = at = len(self.elements)
+        self.elements.append(node)
+        if node.tag in self.tags:
+            self.tags[node.tag].append(at)
+        for name in node.attrs:
+            if name in self.attrs:
+                self.attrs[name].append(at)
+            if name == "class" and self.classes:
+                for cls in set(node.attrs[name].split()):
+                    if cls in self.classes:
+                        self.classes[cls].append(at)
+
+    def close(self):
+        for node in reversed(self.elements):
+            node.parent.last = max(node.parent.last, node.last)
+
+    def inside(self, scope, key):
+        kind, name = key
+        found = self.places[kind][name]
+        return found[bisect_right(found, scope.index) : bisect_right(found, scope.last)]
+
+
 class _TreeBuilder(HTMLParser):
-    def __init__(self):
+    def __init__(self, keys):
         super().__init__(convert_charrefs=True)
-        self.root = self.open = Element("", {}, None)
+        self.page = ElementIndex(keys)
+        self.root = self.open = Element("", {}, None, -1, self.page)
 
-    def handle_starttag(self, tag, attrs):
-        node = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open)
+    def _append(self, tag, attrs):
+        known = {k: v or "" for k, v in reversed(attrs)} if attrs else {}
+        node = Element(tag, known, self.open, 0, self.page)
         self.open.children.append(node)
+        self.page.add(node)
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        node = self._append(tag, attrs)
         if tag not in VOID_TAGS:
             self.open = node
 
     def handle_startendtag(self, tag, attrs):
-        self.open.children.append(Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.open))
+        self._append(tag, attrs)
 
     def handle_endtag(self, tag):
         node = self.open
@@ -74,13 +111,15 @@ class _TreeBuilder(HTMLParser):
         self.open.children.append(data)
 
 
-def parse(html):
-    builder = _TreeBuilder()
+def parse(html, keys=()):
+    """Element tree; ``keys`` are the lookups of the selectors it will be asked for."""
+    builder = _TreeBuilder(keys)
     try:
         builder.feed(html or "")
         builder.close()
     except AssertionError:  # broken declaration: keep the tree read so far
         pass
+    builder.page.close()
     return builder.root
 
 
@@ -139,12 +178,34 @@ def _matches(node, steps):
     return True
 
 
+def _rarest_key(tests):
+    """What to look the step up by: a class, else an attribute, else the tag."""
+    for tag, cls, attr, *_ in tests:
+        if cls is not None:
+            return ("class", cls)
+    for tag, cls, attr, *_ in tests:
+        if attr is not None:
+            return ("attr", attr)
+    return ("tag", tests[0][0])
+
+
+def lookup_keys(selectors):
+    return {_rarest_key(steps[0]) for compiled in selectors for steps in compiled}
+
+
 def find_all(scope, compiled):
-    return (n for n in scope.walk() if any(_matches(n, steps) for steps in compiled))
+    """Matching elements below ``scope`` in document order."""
+    found = set()
+    elements = scope.page.elements
+    for steps in compiled:
+        for i in scope.page.inside(scope, _rarest_key(steps[0])):
+            if _matches(elements[i], steps):
+                found.add(i)
+    return [elements[i] for i in sorted(found)]
 
 
 def find(scope, compiled):
-    return next(find_all(scope, compiled), None)
+    return next(iter(find_all(scope, compiled)), None)
 
 
 def clean(node):
@@ -171,7 +232,7 @@ def read_card(card, sel, names):
         "stars_label": attr(find(card, sel["stars"]), names["stars_attr"]),
         "publish_time": clean(find(box, sel["time"])) if box else None,
         "text": clean(find(card, sel["text"])),
-        "photos": sum(1 for _ in find_all(card, sel["photo"])),
+        "photos": len(find_all(card, sel["photo"])),
         "owner_response_text": clean(find(response, sel["response_text"])) if response else None,
         "owner_response_time": clean(find(response, sel["response_time"])) if response else None,
     }
@@ -180,8 +241,8 @@ def read_card(card, sel, names):
 class Page:
     """Fields of one page, each a method, so that only wanted ones cost time."""
 
-    def __init__(self, html, sel, names, snippet_chars, sign_in_text):
-        self.root = parse(html)
+    def __init__(self, html, sel, names, keys, snippet_chars, sign_in_text):
+        self.root = parse(html, keys)
         self.sel, self.names = sel, names
         self.snippet_chars, self.sign_in_text = snippet_chars, sign_in_text
         self._body = None

@@ -1,16 +1,17 @@
 from placelens import fixed_values as V
-from placelens.operators.markup import Page, clean, compile_selector, find, find_all, parse, visible_text
+from placelens.operators.markup import Page, clean, compile_selector, find, find_all, lookup_keys, parse, visible_text
 
 NAMES = {k: v for k, v in V.DEFAULT_SELECTORS.items() if k.endswith("_attr")}
 COMPILED = {k: compile_selector(v) for k, v in V.DEFAULT_SELECTORS.items() if k not in NAMES}
 
 
 def page(html):
-    return Page(html, COMPILED, NAMES, 10, "sign in")
+    return Page(html, COMPILED, NAMES, lookup_keys(COMPILED.values()), 10, "sign in")
 
 
 def texts(html, selector):
-    return [clean(n) for n in find_all(parse(html), compile_selector(selector))]
+    compiled = compile_selector(selector)
+    return [clean(n) for n in find_all(parse(html, lookup_keys([compiled])), compiled)]
 
 
 def test_selectors():
@@ -26,9 +27,10 @@ def test_selectors():
 
 
 def test_unclosed_void_and_broken_markup():
-    root = parse("<div><p>a<br>b<img src=x>c</div></b>d<!-- e --><script>f</script>")
+    paragraph = compile_selector("p")
+    root = parse("<div><p>a<br>b<img src=x>c</div></b>d<!-- e --><script>f</script>", lookup_keys([paragraph]))
     assert visible_text(root) == "abcd"
-    assert clean(find(root, compile_selector("p"))) == "abc"
+    assert clean(find(root, paragraph)) == "abc"
     assert parse("<![foo <div>").text() is not None
     assert visible_text(parse(None)) == ""
 

@@ -1,6 +1,6 @@
 """Location-input and page-URL columns. Built-in expressions only."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
@@ -74,52 +74,63 @@ def _escaped(c: Column, unsafe: str) -> Column:
     return F.when(c.rlike(unsafe), F.array_join(F.transform(chars, one), "")).otherwise(c)
 
 
-def canonical_url(url: Column) -> Column:
-    """Forces the English locale and drops the tracking parameters.
+_URL = r"(?s)\A([A-Za-z]+)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(#.*)?\z"
+
+
+def canonical_urls(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Adds ``out``: the URL in the English locale, without tracking parameters.
 
     The query is rewritten as form data: order kept, first locale parameter
     replaced, further ones removed, appended last when absent. Short links and
     texts that are not http(s) URLs pass unchanged. Scheme and host are
     lower-cased and default ports dropped; dot segments are left alone.
+
+    Works in steps on the table, so that each part is taken out of the URL once.
     """
-    text = F.trim(url)
-    part = lambda g: F.regexp_extract(
-        text, r"(?s)\A([A-Za-z]+)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(#.*)?\z", g
+    text, c = F.trim(F.col(url)), F.col
+    part = lambda g: F.regexp_extract(text, _URL, g)
+    parts = df.withColumns(
+        {
+            "_scheme": F.lower(part(1)),
+            "_host": F.regexp_replace(F.lower(part(2)), r":\z", ""),
+            "_path": part(3),
+            "_pairs": F.filter(F.split(part(4), "&"), lambda p: p != ""),
+            "_fragment": part(5),
+        }
     )
-    scheme = F.lower(part(1))
-    host = F.regexp_replace(F.lower(part(2)), r":\z", "")
-    host = F.when(scheme == "https", F.regexp_replace(host, r":443\z", "")).otherwise(
-        F.regexp_replace(host, r":80\z", "")
-    )
-    path = F.when(part(3) == "", "/").otherwise(_escaped(part(3), r"[^!-~]|[\"<>`{}]"))
-    fragment = _escaped(part(5), r"[^!-~]|[\"<>`]")
-
-    raw_pairs = F.filter(F.split(part(4), "&"), lambda p: p != "")
-    pairs = F.transform(
-        raw_pairs,
-        lambda p: F.struct(
-            _form_decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("name"),
-            _form_decoded(F.regexp_replace(p, r"(?s)\A[^=]*=?", "")).alias("value"),
-        ),
-    )
-    names = F.transform(pairs, lambda p: p["name"])
-    first_locale = F.array_position(names, V.LOCALE_PARAM)
-    kept = F.filter(
-        pairs,
-        lambda p, i: ~p["name"].isin(*V.TRACKING_PARAMS)
-        & ((p["name"] != V.LOCALE_PARAM) | (i == first_locale - 1)),
+    decoded = parts.withColumns(
+        {
+            "_names": F.transform(
+                "_pairs", lambda p: _form_decoded(F.split_part(p, F.lit("="), F.lit(1)))
+            ),
+            "_values": F.transform(
+                "_pairs", lambda p: _form_decoded(F.regexp_replace(p, r"(?s)\A[^=]*=?", ""))
+            ),
+        }
     )
     locale_pair = f"{V.LOCALE_PARAM}={V.LOCALE_VALUE}"
-    written = F.transform(
-        kept,
-        lambda p: F.when(p["name"] == V.LOCALE_PARAM, locale_pair).otherwise(
-            F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))
-        ),
+    at = c("_locale_at")
+
+    def written(name, i):
+        pair = F.concat(F.url_encode(name), F.lit("="), F.url_encode(F.get("_values", i)))
+        return (
+            F.when(name.isin(*V.TRACKING_PARAMS), None)
+            .when(name != V.LOCALE_PARAM, pair)
+            .when(i == at - 1, locale_pair)
+        )
+
+    located = decoded.withColumn("_locale_at", F.array_position("_names", V.LOCALE_PARAM)).withColumn(
+        "_query", F.array_join(F.array_compact(F.transform("_names", written)), "&")
+    )
+    port = F.when(c("_scheme") == "https", r":443\z").otherwise(r":80\z")
+    joint = F.when(c("_query") == "", "").otherwise("&")
+    query = F.when(at == 0, F.concat(c("_query"), joint, F.lit(locale_pair))).otherwise(c("_query"))
+    path = F.when(c("_path") == "", "/").otherwise(_escaped(c("_path"), r"[^!-~]|[\"<>`{}]"))
+    rewritten = F.concat(
+        c("_scheme"), F.lit("://"), F.regexp_replace(c("_host"), port, F.lit("")), path,
+        F.lit("?"), query, _escaped(c("_fragment"), r"[^!-~]|[\"<>`]"),
     )
-    tail = F.when(first_locale == 0, F.array(F.lit(locale_pair))).otherwise(
-        F.array().cast("array<string>")
+    kept = c(url).contains(V.SHORT_URL_HOST) | ~text.rlike(r"(?i)\Ahttps?://[^/?#\s:]+")
+    return located.withColumn(out, F.when(kept, c(url)).otherwise(rewritten)).drop(
+        "_scheme", "_host", "_path", "_pairs", "_fragment", "_names", "_values", "_locale_at", "_query"
     )
-    query = F.array_join(F.concat(written, tail), "&")
-    rewritten = F.concat(scheme, F.lit("://"), host, path, F.lit("?"), query, fragment)
-    is_url = text.rlike(r"(?i)\Ahttps?://[^/?#\s:]+")
-    return F.when(url.contains(V.SHORT_URL_HOST) | ~is_url, url).otherwise(rewritten)

@@ -44,12 +44,9 @@ def rejected_locations(inputs: DataFrame, column: str = "input") -> DataFrame:
 
 
 def navigation_urls(locations: DataFrame) -> DataFrame:
-    """The URL to load for each location, and whether a loaded one lost the locale."""
-    return locations.withColumns(
-        {
-            "target_url": urls.canonical_url(F.col("url")),
-            "needs_locale_fix": urls.needs_locale_fix(F.col("url")),
-        }
+    """Adds the URL to load for each location, and whether ``url`` lacks the locale."""
+    return urls.canonical_urls(locations, "url", "target_url").withColumn(
+        "needs_locale_fix", urls.needs_locale_fix(F.col("url"))
     )
 
 

@@ -215,26 +215,26 @@ def pending_locations(t):
     "read_location_lists",
     B.with_views(
         f"""SELECT list_no, ordinal, input FROM (
-        SELECT c_nationkey AS list_no, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ordinal,
-        CASE WHEN c_nationkey % 2 = 0 THEN raw ELSE {TRIMMED} END AS input, {TRIMMED} AS t
+        SELECT CAST(c_custkey // 500 AS BIGINT) AS list_no, c_custkey % 500 AS ordinal,
+        CASE WHEN c_custkey // 500 % 2 = 0 THEN raw ELSE {TRIMMED} END AS input, {TRIMMED} AS t
         FROM loc_inputs) WHERE t <> '' AND (list_no % 2 = 0 OR NOT starts_with(t, '#'))""",
         loc_inputs=B.LOC_INPUTS,
     ),
 )
 def read_location_lists(t):
-    """Writes the inputs as list files (JSON arrays and lines), then reads them."""
+    """Writes list files of 500 inputs each, JSON arrays and lines by turns, then reads them."""
     path = scratch_path(t.spark, "lists")
     lists = (
         _inputs(t)
-        .groupBy("c_nationkey")
+        .groupBy(F.expr("c_custkey div 500").alias("list_no"))
         .agg(F.array_sort(F.collect_list(F.struct("c_custkey", "input"))).alias("x"))
-        .select("c_nationkey", F.transform("x", lambda e: e["input"]).alias("x"))
+        .select("list_no", F.transform("x", lambda e: e["input"]).alias("x"))
     )
-    body = F.when(F.col("c_nationkey") % 2 == 0, F.to_json("x")).otherwise(F.array_join("x", "\n"))
-    lists.select("c_nationkey", body.alias("value")).write.partitionBy("c_nationkey").option(
+    body = F.when(F.col("list_no") % 2 == 0, F.to_json("x")).otherwise(F.array_join("x", "\n"))
+    lists.select("list_no", body.alias("value")).write.partitionBy("list_no").option(
         "lineSep", " "
     ).text(path)
-    number = F.regexp_extract("source_file", "c_nationkey=([0-9]+)", 1).cast("int")
+    number = F.regexp_extract("source_file", "list_no=([0-9]+)", 1).cast("bigint")
     return readers.read_location_lists(t.spark, path).select(
         number.alias("list_no"), "ordinal", "input"
     )
@@ -259,8 +259,10 @@ FROM (SELECT DISTINCT o_custkey FROM orders )
 @query(
     "validate_state",
     B.with_views(
-        """SELECT o_custkey, unnest(CASE WHEN o_custkey % 5 = 0 THEN ['https://maps.app.goo.gl/s' || o_custkey, 'b']
-        ELSE [CAST(o_custkey AS VARCHAR)] END) AS input FROM states WHERE o_custkey % 5 IN (0, 4)""",
+        """SELECT o_custkey, unnest(list_transform(items, lambda x: json_extract_string(x, '$'))) AS input FROM (
+        SELECT o_custkey, CASE WHEN json_type(value, '$.completed') = 'ARRAY' THEN json_extract(value, '$.completed[*]') END AS items
+        FROM states WHERE json_valid(value))
+        WHERE len(list_filter(items, lambda x: json_type(x) <> 'VARCHAR')) = 0""",
         states=STATES,
     ),
 )

@@ -240,9 +240,9 @@ BATCH_LIST = f"SELECT DISTINCT conv_id, {BATCH_INPUT} AS input FROM conversation
     "run_batch",
     B.with_views(
         """SELECT 'r2' AS run_id, CAST(count_if(ok) AS BIGINT) AS succeeded, CAST(count_if(NOT ok) AS BIGINT) AS failed, count(*) AS total FROM (
-        SELECT l.conv_id, max(page_state = 'ok' AND NOT (l.conv_id % 4 = 0 AND wrong_place)) IS TRUE AS ok
-        FROM list l LEFT JOIN info i ON i.conv_id = l.conv_id WHERE l.conv_id % 4 < 3 GROUP BY ALL)
-        WHERE NOT (ok AND conv_id % 4 = 0)""",
+        SELECT l.conv_id, input, max(page_state = 'ok' AND NOT (contains(input, 'ftid=') AND wrong_place)) IS TRUE AS ok
+        FROM list l LEFT JOIN info i ON i.conv_id = l.conv_id WHERE NOT starts_with(input, 'nowhere') GROUP BY ALL)
+        WHERE NOT (ok AND contains(input, 'ftid='))""",
         card_src=B.CARD_SRC, info=PAGE_INFO, list=BATCH_LIST.replace("STRING", "VARCHAR"),
     ),
 )
@@ -254,7 +254,7 @@ def run_batch_query(t):
         captures(t).withColumn("conv_id", F.col("place_key").cast("bigint"))
         .withColumn("place_key", F.expr(BATCH_INPUT)).drop("conv_id"), "captures",
     )
-    wanted.filter("conv_id % 4 = 0").select("input").write.text(f"{lists}-1")
+    wanted.filter(F.col("input").contains("ftid=")).select("input").write.text(f"{lists}-1")
     wanted.select("input").write.text(f"{lists}-2")
     run_batch(t.spark, f"{lists}-1", stored, out, "csv", resume=True, run_id="r1", batch_id=1)
     summary = run_batch(t.spark, f"{lists}-2", stored, out, "json", resume=True, run_id="r2", batch_id=2)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
-from placelens.operators.collect import seen_blocks, seen_order
+from placelens.operators.collect import ROUNDS_PER_BLOCK, seen_blocks, seen_order
+from placelens.operators.ordered import block_of, running
 
 PLACE = ["place_key"]
 REVIEWS_PER_PART = 5000
@@ -36,18 +37,16 @@ def review_parts(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFr
     A block goes to the part its first review falls in, so a part holds less
     than ``per_part`` rows plus one block. Only block counts meet per location.
     """
-    blocks = seen_blocks(reviews, per_part)
     names = _block_names(reviews)
-    before = (
-        Window.partitionBy(*PLACE).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counts = (
-        reviews.withColumns(dict(zip(names, blocks)))
+    sizes = (
+        reviews.withColumns(dict(zip(names, seen_blocks(reviews, per_part))))
         .groupBy(*PLACE, *names)
         .agg(F.count("*").alias("_n"))
     )
-    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return counts.withColumn("part_no", F.floor(earlier / per_part))
+    rounds = block_of(F.col(names[0]), ROUNDS_PER_BLOCK)
+    through = running(sizes, PLACE, [rounds], [F.col(n) for n in names], sums={"_through": F.col("_n")})
+    part = F.floor((F.col("_through") - F.col("_n")) / per_part)
+    return through.withColumn("part_no", part).drop("_through")
 
 
 def _block_names(reviews: DataFrame) -> list[str]:

@@ -27,6 +27,12 @@ def seen_blocks(df: DataFrame, width: int = BLOCK_ROWS) -> list[Column]:
     return [*pages, block_of(F.col("pos"), width)]
 
 
+def _coarse(leading: int = 0) -> list[Column]:
+    """Many rounds at a time, after ``leading`` block columns that come before the round."""
+    first = [F.col(f"_block{i}") for i in range(leading)]
+    return [*first, block_of(F.col(f"_block{leading}"), ROUNDS_PER_BLOCK)]
+
+
 def _order_by(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in seen_order(df)]
 
@@ -52,12 +58,14 @@ def cap_per_location(reviews: DataFrame, max_reviews: int, rank: str = "ordinal"
     """First ``max_reviews`` rows of each location with their 1-based ordinal."""
     if max_reviews <= 0:
         raise ValueError("max_reviews must be positive")
-    return first_n(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), max_reviews, rank)
+    return first_n(
+        reviews, PLACE, seen_blocks(reviews), _order_by(reviews), max_reviews, rank, _coarse()
+    )
 
 
 def number_reviews(reviews: DataFrame, rank: str = "ordinal") -> DataFrame:
     """Ordinal of each review in collection order. Reads ``reviews`` twice: store it first."""
-    return ranked(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), rank)
+    return ranked(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), rank, _coarse())
 
 
 def round_counts(rounds: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -179,7 +187,8 @@ def order_reviews(reviews: DataFrame, order: str, rank: str = "ordinal") -> Data
     """
     key = _rating_key(order)
     return ranked(
-        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], rank
+        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], rank,
+        _coarse(len(key)),
     )
 
 
@@ -187,7 +196,8 @@ def top_n_reviews(reviews: DataFrame, order: str, n: int, rank: str = "ordinal")
     """First ``n`` reviews of each location under an order."""
     key = _rating_key(order)
     return first_n(
-        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], n, rank
+        reviews, PLACE, [*key, *seen_blocks(reviews)], [*key, *_order_by(reviews)], n, rank,
+        _coarse(len(key)),
     )
 
 

@@ -21,6 +21,59 @@ def block_of(position: Column, width: int = BLOCK_ROWS) -> Column:
     return F.floor(position / width)
 
 
+def _totals(df: DataFrame, group: list[str], sums: Sequence[str], maxima: Sequence[str]) -> DataFrame:
+    return df.groupBy(*group).agg(
+        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]
+    )
+
+
+def _before(
+    totals: DataFrame,
+    keys: list[str],
+    names: list[str],
+    sums: Sequence[str],
+    maxima: Sequence[str],
+    coarse: Sequence[Column] | None,
+) -> DataFrame:
+    """For each block the values of all blocks before it, as ``_before_..`` columns.
+
+    With ``coarse`` blocks of blocks, only one row per coarse block meets per key.
+    """
+    wide = [f"_coarse{i}" for i in range(len(coarse or ()))]
+    rows = totals.withColumns(dict(zip(wide, coarse))) if coarse else totals
+    earlier = (
+        Window.partitionBy(*keys, *wide)
+        .orderBy(*names)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    near = rows.select(
+        *keys,
+        *wide,
+        *names,
+        *[F.sum(n).over(earlier).alias(f"_before_{n}") for n in sums],
+        *[F.max(n).over(earlier).alias(f"_before_{n}") for n in maxima],
+    )
+    if not coarse:
+        return near
+    far_totals = _totals(rows, [*keys, *wide], sums, maxima)
+    far = _before(far_totals, keys, wide, sums, maxima, None).withColumnsRenamed(
+        {f"_before_{n}": f"_far_{n}" for n in (*sums, *maxima)}
+    )
+    zero = F.lit(0)
+    both = {
+        **{
+            f"_before_{n}": F.coalesce(f"_before_{n}", zero) + F.coalesce(f"_far_{n}", zero)
+            for n in sums
+        },
+        **{f"_before_{n}": F.greatest(f"_before_{n}", f"_far_{n}") for n in maxima},
+    }
+    return (
+        near.join(far, [*keys, *wide])
+        .withColumns(both)
+        .drop(*wide, *[f"_far_{n}" for n in (*sums, *maxima)])
+    )
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,53 +81,44 @@ def running(
     order: Sequence[Column],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
+    coarse: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Adds running sums and maxima (current row included) per key.
 
     ``blocks`` must not decrease along ``order`` within a key; ``order`` must be
     total within (key, block) for a deterministic result. Keys must not be null.
-    ``df`` is read twice, once for the few columns of the block totals: hand in
-    a stored table where its plan is expensive.
+    ``coarse``, for keys of very many blocks, groups blocks once more; it is
+    written over the block columns ``_block0``, ``_block1``, .. and must not
+    decrease along them. ``df`` is read twice, once for the few columns of the
+    block totals: hand in a stored table where its plan is expensive.
     """
-    sums, maxima = sums or {}, maxima or {}
-    values = {**sums, **maxima}
-    block_names = [f"_block{i}" for i in range(len(blocks))]
-    group = [*keys, *block_names]
-    parts = df.withColumns(dict(zip(block_names, blocks)))
-
-    totals = parts.groupBy(*group).agg(
-        *[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()],
-        *[F.max(c).alias(f"_total_{n}") for n, c in maxima.items()],
-    )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(*block_names)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *group,
-        *[F.sum(f"_total_{n}").over(before).alias(f"_before_{n}") for n in sums],
-        *[F.max(f"_total_{n}").over(before).alias(f"_before_{n}") for n in maxima],
-    )
+    keys, sums, maxima = list(keys), sums or {}, maxima or {}
+    names = [f"_block{i}" for i in range(len(blocks))]
+    values = {f"_value_{n}": c for n, c in {**sums, **maxima}.items()}
+    parts = df.withColumns({**dict(zip(names, blocks)), **values})
+    summed, largest = [[f"_value_{n}" for n in x] for x in (sums, maxima)]
+    totals = _totals(parts, [*keys, *names], summed, largest)
+    offsets = _before(totals, keys, names, summed, largest, coarse)
+
     inside = (
-        Window.partitionBy(*group)
+        Window.partitionBy(*keys, *names)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = parts.withColumns(
         {
-            **{f"_local_{n}": F.sum(c).over(inside) for n, c in sums.items()},
-            **{f"_local_{n}": F.max(c).over(inside) for n, c in maxima.items()},
-        }
-    )
-    joined = local.join(offsets, group).withColumns(
-        {
-            **{n: F.col(f"_local_{n}") + F.coalesce(f"_before_{n}", F.lit(0)) for n in sums},
-            **{n: F.greatest(f"_local_{n}", f"_before_{n}") for n in maxima},
+            **{n: F.sum(n).over(inside) for n in summed},
+            **{n: F.max(n).over(inside) for n in largest},
         }
     )
-    dropped = [*block_names, *[f"_{k}_{n}" for n in values for k in ("local", "before")]]
-    return joined.drop(*dropped)
+    results = {
+        **{
+            n: F.col(f"_value_{n}") + F.coalesce(f"_before__value_{n}", F.lit(0)) for n in sums
+        },
+        **{n: F.greatest(f"_value_{n}", f"_before__value_{n}") for n in maxima},
+    }
+    dropped = [*names, *values, *[f"_before_{n}" for n in values]]
+    return local.join(offsets, [*keys, *names]).withColumns(results).drop(*dropped)
 
 
 def ranked(
@@ -83,9 +127,11 @@ def ranked(
     blocks: Sequence[Column],
     order: Sequence[Column],
     name: str,
+    coarse: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Adds the 1-based row number of each row within its key."""
-    return running(df, keys, blocks, order, sums={name: F.lit(1).cast("bigint")})
+    one = {name: F.lit(1).cast("bigint")}
+    return running(df, keys, blocks, order, sums=one, coarse=coarse)
 
 
 def first_n(
@@ -95,6 +141,7 @@ def first_n(
     order: Sequence[Column],
     n: int,
     name: str,
+    coarse: Sequence[Column] | None = None,
 ) -> DataFrame:
     """First ``n`` rows of every key with their row number.
 
@@ -104,4 +151,4 @@ def first_n(
     if n <= PRUNED_RANK:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, rank.cast("bigint")).filter(F.col(name) <= n)
-    return ranked(df, keys, blocks, order, name).filter(F.col(name) <= n)
+    return ranked(df, keys, blocks, order, name, coarse).filter(F.col(name) <= n)

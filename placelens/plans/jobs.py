@@ -1,5 +1,6 @@
 """End-to-end jobs: captured pages to documents, list to files, documents to issues."""
 
+import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,11 @@ class Collected(NamedTuple):
     reviews: DataFrame
     rejected: DataFrame
 
+    def register_views(self, prefix: str = "") -> None:
+        """Makes the tables available to Spark SQL under their names."""
+        for name, table in self._asdict().items():
+            table.createOrReplaceTempView(f"{prefix}{name}")
+
     def documents(self, sort_order: str, per_part: int = REVIEWS_PER_PART) -> DataFrame:
         return assemble_documents(self.headers, self.reviews, sort_order, per_part)
 
@@ -110,11 +116,13 @@ def run_batch(
 ) -> DataFrame:
     """List to files, run state and a summary row.
 
-    ``captures.place_key`` is the location input the page was loaded for. Only
+    ``captures`` holds the pages of this run and ``place_key`` the location input
+    a page was loaded for; pages of other inputs are read but not used. Only
     inputs without finished output are worked on when ``resume`` is set. State
     is written after the output, so a crash never marks unfinished work. Each
     run needs its own ``batch_id``; running one again replaces what it wrote.
     """
+    started_ms = int(time.time() * 1000)
     state_path = f"{out_path.rstrip('/')}/_state"
     inputs = valid_locations(read_location_lists(spark, list_path))
     pending = staged(
@@ -130,9 +138,8 @@ def run_batch(
     requests = arrival.groupBy(F.col("input").alias(PLACE)).agg(
         F.min("arrival").alias("arrival"), F.first("place_id").alias("place_id")
     )
-    wanted = captures.join(requests.select(PLACE), PLACE, "left_semi")
     documents = staged(
-        collect_places(wanted, requests, sort_order, max_reviews).documents(sort_order),
+        collect_places(captures, requests, sort_order, max_reviews).documents(sort_order),
         "documents",
     )
     used = read_run_state(spark, state_path).filter(
@@ -156,8 +163,8 @@ def run_batch(
     outcomes = requests.join(names, PLACE, "left").select(
         F.lit(run_id).alias("run_id"),
         F.col("name").isNotNull().alias("ok"),
-        F.lit(None).cast("bigint").alias("started_ms"),
-        F.lit(None).cast("bigint").alias("ended_ms"),
+        F.lit(started_ms).cast("bigint").alias("started_ms"),
+        F.lit(int(time.time() * 1000)).cast("bigint").alias("ended_ms"),
     )
     return batch_summary(outcomes)
 

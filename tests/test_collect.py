@@ -45,6 +45,7 @@ def test_first_copy_wins_and_dedup_is_idempotent(cards):
 @pytest.mark.parametrize("n", [1, 4, 100])
 def test_cap(cards, monkeypatch, pruned, n):
     monkeypatch.setattr(ordered, "PRUNED_RANK", pruned)
+    monkeypatch.setattr(collect, "ROUNDS_PER_BLOCK", 2)
     rows, df = cards
     got = collect.cap_per_location(collect.dedup_first_seen(df), n)
     want = []
@@ -59,6 +60,7 @@ def test_cap(cards, monkeypatch, pruned, n):
 @pytest.mark.parametrize("pruned", [1000, 0])
 def test_orders(cards, monkeypatch, pruned, order, key):
     monkeypatch.setattr(ordered, "PRUNED_RANK", pruned)
+    monkeypatch.setattr(collect, "ROUNDS_PER_BLOCK", 2)
     rows, df = cards
     first = collect.dedup_first_seen(df)
     want = {}

@@ -49,6 +49,9 @@ def test_collect_places(spark):
     assert (a.business.scrapeDate, a.metadata.scrapeDurationMs) == ("1970-01-01T00:16:40.500Z", 500.0)
     assert docs["d"].reviews == [] and docs["d"].business.rating is None
     assert {(r.place_key[-1], r.reject_reason) for r in found.rejected.collect()} == {("c", "limited_view")}
+    found.register_views("run_")
+    counts = spark.sql("SELECT place_key, count(*) AS n FROM run_reviews JOIN run_headers USING (place_key) GROUP BY 1")
+    assert [(r.place_key[-1], r.n) for r in counts.filter("n > 1").collect()] == [("a", 3)]
 
 
 def test_cap_and_wrong_place(spark):

@@ -53,8 +53,8 @@ def test_small_caps_prune_before_the_location_shuffle(raw):
 def test_ranks_never_window_rows_by_location_alone(raw, job):
     text = plan(job(raw))
     for window in re.findall(r"Window \[.*?\], \[(.*?)\], \[", text):
-        if "," not in window:  # by location alone: only over block totals
-            assert "_total_" in text
+        if "," not in window:  # by location alone: only over totals of coarse blocks
+            assert "_coarse0" in text
     assert re.search(r"Window \[sum\(1\).*?\], \[place_key#\d+(, _block\d#\d+L?)+\]", text)
 
 

@@ -163,7 +163,7 @@ def cap_per_location(t):
 
 @query("cap_per_location_large", _ranked(SCAN_ORDER, 1500))
 def cap_per_location_large(t):
-    """Beyond the pruning threshold, where the blockwise rank takes over."""
+    """A cap large enough for the blockwise rank to take over."""
     return collect.cap_per_location(_seen(t, stored=True), 1500).select("place_key", "review_id", "ordinal")
 
 

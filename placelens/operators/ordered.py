@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65536
-# Spark prunes each map output to N rows per key up to this N (its default
-# window group limit threshold), so that the shuffle of a hot key stays small.
-PRUNED_RANK = 1000
+# Up to this N a plain window serves: Spark prunes each map output to N rows per
+# key before the shuffle, so one task meets at most N rows per upstream task.
+PRUNED_RANK = 100
 
 
 def block_of(position: Column, width: int = BLOCK_ROWS) -> Column:
@@ -145,8 +145,9 @@ def first_n(
 ) -> DataFrame:
     """First ``n`` rows of every key with their row number.
 
-    Up to the pruning threshold a plain window is best: each task sends at most
-    ``n`` rows per key. Beyond it the blockwise rank is exact for any ``n``.
+    For small ``n`` a plain window is best: each task sends at most ``n`` rows
+    per key. Beyond that the blockwise rank is exact for any ``n``; it reads
+    ``df`` twice, so hand in a stored table.
     """
     if n <= PRUNED_RANK:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -98,7 +98,7 @@ def collect_places(
     )
     reviews = collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews))
     if max_reviews is not None:
-        reviews = staged(collect.cap_per_location(reviews, max_reviews), "capped")
+        reviews = staged(collect.cap_per_location(reviews, max_reviews), "capped-reviews")
     return Collected(_headers(good), reviews, rejected)
 
 

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +27,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "plac
     return spark
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="placelens-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="placelens-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+    """A new folder name under the cluster's shared checkpoint folder.
+
+    Sessions without one, as in tests, get a temporary folder.
+    """
+    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_root()
     return f"{root.rstrip('/')}/placelens/{label}-{uuid.uuid4().hex}"
 
 

@@ -1,6 +1,7 @@
 """The stream gives what the batch gives, however files split the rounds."""
 
 import json
+import os
 import random
 
 import pytest
@@ -18,7 +19,9 @@ def run(spark, tmp_path, files, **options):
     for i, rows in enumerate(files):
         lines = [json.dumps({"place_key": p, "round": r, "loading": load, "reviews": [{"review_id": x, "body": "{}"} for x in ids]})
                  for p, r, load, ids in rows]
-        (folder / f"{i:03}.json").write_text("\n".join(lines))
+        file = folder / f"{i:03}.json"
+        file.write_text("\n".join(lines))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # the source reads oldest first
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(folder))
     events = flows.stream_collect(stream, **options)
 

@@ -126,7 +126,7 @@ def stream_collect(t):
     path = scratch_path(t.spark, "rounds")
     rows.repartition(FILES, F.col("event_id")).drop("event_id").write.parquet(path)
     stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option(
-        "maxFilesPerTrigger", 1
+        "maxFilesPerTrigger", FILES // 2
     ).parquet(path)
     return _finish(
         flows.stream_collect(stream).select(

@@ -14,7 +14,6 @@ from placelens.sinks.writers import commit_run_state
 from placelens.sources import readers
 
 TRIMMED = B.trim("raw")
-DECODED = "url_decode({0})"
 KIND = f"""CASE WHEN regexp_matches(t, '{V.PLACE_ID_PATTERN}') THEN 'place_id'
  WHEN regexp_matches(t, '{V.SHORT_URL_PATTERN}') THEN 'short'
  WHEN regexp_matches(t, '{V.LONG_URL_PATTERN}') THEN 'long'

@@ -27,7 +27,6 @@ BODY = (
     "trim(regexp_replace(" + UNESCAPE.format("regexp_replace(" + SEEN_HTML + ", '<[^>]*>', '', 'g')")
     + ", '\\s+', ' ', 'g'))"
 )
-HEAD_SAFE = "regexp_replace(html, '(?s)<head>.*</head>', '')"
 
 
 def _pages(t, *fields, selectors=None):

@@ -117,7 +117,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     gone = staged(gone, "line-drops")
     runs.forget()
 
-    joined = docs.withColumn("__llm_id", ident).join(gone.withColumnRenamed("_id", "__llm_id"), "__llm_id", "left")
+    # Drops grow with the input, so they are never broadcast, however few they are here.
+    joined = docs.withColumn("__llm_id", ident).join(gone.withColumnRenamed("_id", "__llm_id").hint("merge"), "__llm_id", "left")
     joined = joined.withColumn("__llm_parts", F.split(F.coalesce(text_col, F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__llm_parts") - 1), F.col("__llm_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.col("__llm_parts")[i]), "\n")

@@ -1,6 +1,10 @@
 """Queries over documents whose operators SQL cannot express at this size."""
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from placelens.llm.ngram_join import near_duplicates
+from placelens.llm.piece_codec import ids_digest, piece_ids, read_model
 from placelens.llm.registry import query, table
 
 
@@ -8,3 +12,15 @@ from placelens.llm.registry import query, table
 def ngram_jaccard(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op5_sentencepiece")
+def sentencepiece_round_trip(spark, sf_dir):
+    model = read_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = piece_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        ids_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -234,8 +234,9 @@ def _counted(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     left = parts.select(F.col("node").alias("left"), "pieces", "piece", F.col("grams").alias("left_grams"))
     right = parts.select(F.col("node").alias("right"), "pieces", "piece", F.col("grams").alias("right_grams"))
     both = pairs.join(left, ["left", "pieces"]).join(right, ["right", "pieces", "piece"])
-    partial = both.select("left", "right", "n_left", "n_right", F.size(F.array_intersect("left_grams", "right_grams")).alias("overlap"))
-    total = partial.groupBy("left", "right", "n_left", "n_right").agg(F.sum("overlap").alias("overlap"))
+    partial = both.select("left", "right", "n_left", "n_right", "piece", F.size(F.array_intersect("left_grams", "right_grams")).alias("overlap"))
+    once = partial.groupBy("left", "right", "n_left", "n_right", "piece").agg(F.max("overlap").alias("overlap"))
+    total = once.groupBy("left", "right", "n_left", "n_right").agg(F.sum("overlap").alias("overlap"))
     return total.where(rule.links(F.col("overlap"), F.col("n_left"), F.col("n_right"))).select("left", "right", "overlap", "n_left", "n_right")
 
 
@@ -287,38 +288,32 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     # What is chosen grows with the input, so it is never broadcast, however little it is here.
     picked = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["id"])).select("text", F.explode("halves").alias("half"))
     cut = picked.mapInArrow(_parts(rule), "node binary, half long, n long, parity array<long>, pieces int, piece int, grams array<long>")
-    parts = staged(cut.dropDuplicates(["node", "pieces", "piece"]), "set-parts")
+    parts = staged(cut, "set-parts")  # rows that repeat id and text are there more than once
     facts = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("half", "n", "parity")])
-    placed = staged(buckets.join(facts, "half").select("sig", "node", "n", "parity"), "set-placed")
+    facts = staged(facts, "set-facts")
+    placed = staged(buckets.join(facts.select("half", "node"), "half").select("sig", "node"), "set-placed")
 
     links, groups = None, None
     for k in range(rounds + 1):
-        rows = placed
-        if groups is not None:
-            rows = rows.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        else:
-            rows = rows.withColumn("group", F.col("node"))
+        rows = placed.withColumn("group", F.col("node")) if groups is None else placed.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        mixed = rows.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("sig")
+        rows = rows.join(mixed, "sig", "left_semi")
         if k < rounds:
             degree = F.lit(0)
             if links is not None:
                 ends = links.select(F.explode(F.array("left", "right")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
                 rows, degree = rows.join(ends, "node", "left"), F.coalesce("degree", F.lit(0))
-            rank = F.struct(degree.alias("degree"), F.xxhash64("node", F.lit(k)).alias("draw"), F.col("node"), "n", "parity", "group")
-            hubs = rows.groupBy("sig").agg(F.max(rank).alias("hub")).select("sig", "hub.node", "hub.n", "hub.parity", "hub.group")
-            rows = rows.select("sig", "node", "n", "parity", "group")
+            rank = F.struct(degree.alias("degree"), F.xxhash64("node", F.lit(k)).alias("draw"), F.col("node"), F.col("group"))
+            hubs = rows.groupBy("sig").agg(F.max(rank).alias("hub")).select("sig", "hub.node", "hub.group")
+            met = hubs.alias("a").join(rows.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.group") != F.col("b.group")))
+            met = met.select(F.least("a.node", "b.node").alias("left"), F.greatest("a.node", "b.node").alias("right")).distinct()
+            a, b = facts.alias("a"), facts.alias("b")
+            met = met.join(a, F.col("left") == F.col("a.node")).join(b, F.col("right") == F.col("b.node")).where(_may_link(rule, "a", "b"))
         else:
-            hubs = rows
-        a, b = hubs.alias("a"), rows.alias("b")
-        apart = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.group") != F.col("b.group")) & _may_link(rule, "a", "b")
-        if k == rounds:
-            apart = apart & (F.col("a.node") < F.col("b.node"))
-        swap = F.col("a.node") > F.col("b.node")
-        met = a.join(b, apart).select(
-            F.when(swap, F.col("b.node")).otherwise(F.col("a.node")).alias("left"),
-            F.when(swap, F.col("a.node")).otherwise(F.col("b.node")).alias("right"),
-            F.when(swap, F.col("b.n")).otherwise(F.col("a.n")).alias("n_left"),
-            F.when(swap, F.col("a.n")).otherwise(F.col("b.n")).alias("n_right"),
-        )
+            rows = rows.select("sig", "node", "group").join(facts, "node")
+            apart = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
+            met = rows.alias("a").join(rows.alias("b"), apart & _may_link(rule, "a", "b"))
+        met = met.select(F.col("a.node").alias("left"), F.col("b.node").alias("right"), F.col("a.n").alias("n_left"), F.col("b.n").alias("n_right"))
         found = staged(_counted(_pairs(met, rule), parts, rule), "set-links")
         links = found if links is None else links.unionByName(found)
         groups = components(links.select("left", "right"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from placelens.llm.ngram_join import near_duplicates
 from placelens.llm.piece_codec import ids_digest, piece_ids, read_model
+from placelens.llm.quality import fit_quality, score_quality
 from placelens.llm.registry import query, table
+from placelens.llm.toxicity import fit_toxicity, score_toxicity
 
 
 @query("op3_ngram_jaccard")
@@ -24,3 +26,26 @@ def sentencepiece_round_trip(spark, sf_dir):
         ids_digest().alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def remainder(modulus: int):
+    """The remainder that says which labels may be learnt from."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def scored_rows(scored, held_out):
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity")
+def toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return scored_rows(score_toxicity(docs, model), remainder(5) == 0)
+
+
+@query("op6_quality")
+def quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return scored_rows(score_quality(docs, model), remainder(3) == 1)

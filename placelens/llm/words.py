@@ -23,11 +23,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _byte_tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _byte_tables(lower: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each byte in a hash, and whether it parts words."""
     codes = np.arange(256)
     if lower:
         codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    if letters:
+        space = ~(((codes >= 97) & (codes <= 122)) | ((codes >= 65) & (codes <= 90)) | ((codes >= 48) & (codes <= 57)) | (codes >= 128))
     with np.errstate(over="ignore"):
         return mix((codes.astype(np.uint64) + np.uint64(1)) * STEP), space
 
@@ -59,12 +62,16 @@ class Words(NamedTuple):
     starts: np.ndarray  # byte where it begins
     ends: np.ndarray  # byte after it
     first: np.ndarray  # index of each text's first word, and the number of words
+    bounds: np.ndarray  # byte where each text begins, and where the last one ends
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
-    """Words of texts that lie between neighbouring offsets of ``data``."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, letters: bool = False) -> Words:
+    """Words of texts that lie between neighbouring offsets of ``data``.
+
+    ``lower`` takes A-Z as a-z; with ``letters`` all ASCII but letters and digits parts words.
+    """
     begin, data = offsets[0], data[offsets[0] : offsets[-1]]
-    values, spaces = _byte_tables(lower)
+    values, spaces = _byte_tables(lower, letters)
     solid = np.zeros(len(data) + 2, bool)
     solid[1:-1] = ~spaces[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -75,16 +82,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, starts + begin, ends + begin, np.searchsorted(starts, offsets - begin))
+    return Words(hashes, starts + begin, ends + begin, np.searchsorted(starts, offsets - begin), offsets)
+
+
+def word_hash(word: str) -> int:
+    """Hash of one word without blanks, in lower case."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(words_of(data, np.array([0, len(data)]), True).hashes[0])
 
 
-def in_chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, Words]]:
+def in_chunks(column: pa.Array, lower: bool, letters: bool = False) -> Iterator[tuple[int, np.ndarray, Words]]:
     """(index of the first text, bytes, words) of runs of texts of about ``CHUNK_BYTES`` together."""
     data, offsets = bytes_of(column)
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-        yield at, data, words_of(data, offsets[at : end + 1], lower)
+        yield at, data, words_of(data, offsets[at : end + 1], lower, letters)
         at = end
 
 

@@ -1,5 +1,6 @@
 """Intermediate tables of the operators, in the folder the cluster shares."""
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -29,4 +30,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to shared storage and reads it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes shuffle files that no plan needs any more.
+
+    Else they stay until the driver happens to collect, and a job of many steps
+    fills the executors' disks with what it has already written to a table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -3,10 +3,12 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from placelens.llm.decontamination import find_leaks
 from placelens.llm.ngram_join import near_duplicates
 from placelens.llm.piece_codec import ids_digest, piece_ids, read_model
 from placelens.llm.quality import fit_quality, score_quality
 from placelens.llm.registry import query, table
+from placelens.llm.substring_dedup import dedup_passages
 from placelens.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -49,3 +51,15 @@ def quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
     return scored_rows(score_quality(docs, model), remainder(3) == 1)
+
+
+@query("op2_decontamination")
+def decontamination(spark, sf_dir):
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    kept = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -240,10 +240,15 @@ def _counted(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     return total.where(rule.links(F.col("overlap"), F.col("n_left"), F.col("n_right"))).select("left", "right", "overlap", "n_left", "n_right")
 
 
+def _odd_cells(left: str, right: str) -> Column:
+    """Cells whose parities differ: no more than n-grams in which the sets differ."""
+    return sum((F.bit_count(F.col(f"{left}.parity")[i].bitwiseXOR(F.col(f"{right}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def _may_link(rule: Rule, left: str, right: str) -> Column:
     """Bounds that every linking pair keeps: sizes, and the parities of cells, which differ in no more cells than the sets in n-grams."""
     a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-    odd = sum((F.bit_count(F.col(f"{left}.parity")[i].bitwiseXOR(F.col(f"{right}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    odd = _odd_cells(left, right)
     sizes = (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
     return sizes & (odd * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
 
@@ -306,9 +311,14 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             rank = F.struct(degree.alias("degree"), F.xxhash64("node", F.lit(k)).alias("draw"), F.col("node"), F.col("group"))
             hubs = rows.groupBy("sig").agg(F.max(rank).alias("hub")).select("sig", "hub.node", "hub.group")
             met = hubs.alias("a").join(rows.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.group") != F.col("b.group")))
-            met = met.select(F.least("a.node", "b.node").alias("left"), F.greatest("a.node", "b.node").alias("right")).distinct()
+            met = met.select(F.col("a.node").alias("hub"), F.col("b.node").alias("other")).distinct()
             a, b = facts.alias("a"), facts.alias("b")
-            met = met.join(a, F.col("left") == F.col("a.node")).join(b, F.col("right") == F.col("b.node")).where(_may_link(rule, "a", "b"))
+            met = met.join(a, F.col("hub") == F.col("a.node")).join(b, F.col("other") == F.col("b.node")).where(_may_link(rule, "a", "b"))
+            # One hub for each node, the one that differs least: what that leaves out, the last round compares.
+            best = F.min_by(F.struct("a.node", "a.n"), F.struct(_odd_cells("a", "b"), "hub")).alias("a")
+            met = met.groupBy("other").agg(best, F.first("b.n").alias("n")).select("a", F.struct(F.col("other").alias("node"), "n").alias("b"))
+            swap = F.col("a.node") > F.col("b.node")
+            met = met.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
         else:
             rows = rows.select("sig", "node", "group").join(facts, "node")
             apart = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))

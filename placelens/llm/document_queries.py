@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from placelens.llm.decontamination import find_leaks
+from placelens.llm.neighbours import nearest_neighbours
 from placelens.llm.ngram_join import near_duplicates
 from placelens.llm.piece_codec import ids_digest, piece_ids, read_model
 from placelens.llm.quality import fit_quality, score_quality
@@ -63,3 +64,9 @@ def decontamination(spark, sf_dir):
 def substring_dedup(spark, sf_dir):
     kept = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_cross_polytope")
+def cross_polytope(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)

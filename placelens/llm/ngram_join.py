@@ -73,6 +73,18 @@ def _segments_for(size: int) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1, size / SEGMENT_GRAMS)))))
 
 
+def _parity_level(size: int) -> int:
+    """Doublings of the parity cells so that there are at least two for each n-gram."""
+    return max(0, int(np.ceil(np.log2(max(1, size / (32 * PARITY_WORDS))))))
+
+
+def _parity(own: np.ndarray, level: int) -> np.ndarray:
+    """For each of many cells, whether an odd number of n-grams falls into it."""
+    cells = (64 * PARITY_WORDS) << level
+    cell = (mix(own + np.uint64(1)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sets_of(words: Words, i: int, all_grams: np.ndarray, n: int) -> np.ndarray:
     """The ordered distinct n-grams of one text; fewer words than n are one n-gram."""
     a, b = words.first[i], words.first[i + 1]
@@ -187,7 +199,7 @@ def _parts(rule: Rule):
     """(node, n, parity, pieces, piece, grams): a set's segments, for as many pieces as its partners may use."""
 
     def run(batches):
-        kept = {k: [] for k in ("node", "half", "n", "parity", "pieces", "piece", "grams")}
+        kept = {k: [] for k in ("node", "half", "n", "level", "parity", "parity_above", "pieces", "piece", "grams")}
 
         def flush():
             out = pa.RecordBatch.from_arrays(
@@ -195,7 +207,9 @@ def _parts(rule: Rule):
                     pa.array(kept["node"], pa.binary()),
                     pa.array(kept["half"], pa.int64()),
                     pa.array(kept["n"], pa.int64()),
+                    pa.array(kept["level"], pa.int32()),
                     pa.array(kept["parity"], pa.list_(pa.int64())),
+                    pa.array(kept["parity_above"], pa.list_(pa.int64())),
                     pa.array(kept["pieces"], pa.int32()),
                     pa.array(kept["piece"], pa.int32()),
                     pa.array(kept["grams"], pa.list_(pa.int64())),
@@ -212,15 +226,15 @@ def _parts(rule: Rule):
                 half = _half(node)
                 if half not in wanted:
                     continue
-                cell = mix(own + np.uint64(1)) >> np.uint64(54)
-                odd = np.bitwise_and(np.bincount(cell.astype(np.int64), minlength=64 * PARITY_WORDS), 1).astype(np.uint8)
-                parity = np.packbits(odd).view(np.int64)
+                level, above = _parity_level(len(own)), _parity_level(rule.largest_partner(len(own)))
+                facts = (level, _parity(own, level), _parity(own, above) if above != level else None)
                 for pieces in {_segments_for(len(own)), _segments_for(rule.largest_partner(len(own)))}:
                     cuts = _cuts(own, pieces)
                     for j in range(pieces):
                         if cuts[j + 1] > cuts[j]:
-                            for k, v in zip(kept, (node, half, len(own), parity, pieces, j, own[cuts[j] : cuts[j + 1]].view(np.int64))):
+                            for k, v in zip(kept, (node, half, len(own), *facts, pieces, j, own[cuts[j] : cuts[j + 1]].view(np.int64))):
                                 kept[k].append(v)
+                            facts = (level, None, None)  # a set's first row has them
                 if len(kept["node"]) >= 2000:
                     yield flush()
         if kept["node"]:
@@ -241,8 +255,12 @@ def _counted(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _odd_cells(left: str, right: str) -> Column:
-    """Cells whose parities differ: no more than n-grams in which the sets differ."""
-    return sum((F.bit_count(F.col(f"{left}.parity")[i].bitwiseXOR(F.col(f"{right}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    """Cells whose parities differ: no more than n-grams in which the sets differ. Null if the sizes are too far apart."""
+    both = F.greatest(f"{left}.level", f"{right}.level")
+    a, b = (F.when(F.col(f"{x}.level") == both, F.col(f"{x}.parity")).otherwise(F.col(f"{x}.parity_above")) for x in (left, right))
+    short = sum((F.bit_count(F.col(f"{left}.parity")[i].bitwiseXOR(F.col(f"{right}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    long = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return F.when(both == 0, short).otherwise(long)
 
 
 def _may_link(rule: Rule, left: str, right: str) -> Column:
@@ -250,7 +268,7 @@ def _may_link(rule: Rule, left: str, right: str) -> Column:
     a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
     odd = _odd_cells(left, right)
     sizes = (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
-    return sizes & (odd * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
+    return sizes & F.coalesce(odd * (100 + rule.percent) <= (a + b) * (100 - rule.percent), F.lit(False))
 
 
 def _pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -292,10 +310,11 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     chosen = nodes.groupBy("id").agg(F.collect_set("half").alias("halves"))
     # What is chosen grows with the input, so it is never broadcast, however little it is here.
     picked = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["id"])).select("text", F.explode("halves").alias("half"))
-    cut = picked.mapInArrow(_parts(rule), "node binary, half long, n long, parity array<long>, pieces int, piece int, grams array<long>")
+    cut = picked.mapInArrow(_parts(rule), "node binary, half long, n long, level int, parity array<long>, parity_above array<long>, pieces int, piece int, grams array<long>")
     parts = staged(cut, "set-parts")  # rows that repeat id and text are there more than once
-    facts = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("half", "n", "parity")])
-    facts = staged(facts, "set-facts")
+    facts = parts.where("parity IS NOT NULL").select("node", "half", "n", "level", "parity", "parity_above")
+    facts = staged(facts.dropDuplicates(["node"]), "set-facts")
+    parts = parts.select("node", "pieces", "piece", "grams")
     placed = staged(buckets.join(facts.select("half", "node"), "half").select("sig", "node"), "set-placed")
 
     links, groups = None, None

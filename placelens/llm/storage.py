@@ -1,12 +1,13 @@
 """Intermediate tables of the operators, in the folder the cluster shares."""
 
-import gc
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @cache
 def _own_root() -> str:
@@ -27,18 +28,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to shared storage and reads it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which Spark deletes shuffle files that no plan needs any more.
+    """Writes ``df`` to shared storage and reads it back: cuts lineage, survives lost executors.
 
-    Else they stay until the driver happens to collect, and a job of many steps
-    fills the executors' disks with what it has already written to a table.
+    The table stands for all that led to it, so its shuffle files are deleted as soon
+    as it is written. A job of many steps would else fill the executors' disks.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,6 +32,7 @@ CLASS_GROWTH = 1.3
 SEGMENT_GRAMS = 128
 PARITY_WORDS = 16
 SEEN_KEYS = 50_000
+COUNT_PASSES = 4
 
 
 class Rule(NamedTuple):
@@ -244,13 +245,24 @@ def _parts(rule: Rule):
 
 
 def _counted(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (left, right, n_left, n_right, pieces) that link: overlaps per fragment, summed per pair."""
-    left = parts.select(F.col("node").alias("left"), "pieces", "piece", F.col("grams").alias("left_grams"))
-    right = parts.select(F.col("node").alias("right"), "pieces", "piece", F.col("grams").alias("right_grams"))
-    both = pairs.join(left, ["left", "pieces"]).join(right, ["right", "pieces", "piece"])
-    partial = both.select("left", "right", "n_left", "n_right", "piece", F.size(F.array_intersect("left_grams", "right_grams")).alias("overlap"))
-    once = partial.groupBy("left", "right", "n_left", "n_right", "piece").agg(F.max("overlap").alias("overlap"))
-    total = once.groupBy("left", "right", "n_left", "n_right").agg(F.sum("overlap").alias("overlap"))
+    """The pairs (left, right, n_left, n_right, pieces) that link: overlaps per fragment, summed per pair.
+
+    Fragments are counted in ``COUNT_PASSES`` passes, so that only a part of all segments moves at a time.
+    """
+    pairs = staged(pairs, "set-pairs")
+    counts = []
+    for turn in range(COUNT_PASSES):
+        own = parts.where(F.pmod(F.col("piece") + F.col("pieces"), F.lit(COUNT_PASSES)) == turn)
+        left = own.select(F.col("node").alias("left"), "pieces", "piece", F.col("grams").alias("left_grams"))
+        right = own.select(F.col("node").alias("right"), "pieces", "piece", F.col("grams").alias("right_grams"))
+        both = pairs.join(left, ["left", "pieces"]).join(right, ["right", "pieces", "piece"])
+        partial = both.select("left", "right", "n_left", "n_right", "piece", F.size(F.array_intersect("left_grams", "right_grams")).alias("overlap"))
+        once = partial.groupBy("left", "right", "n_left", "n_right", "piece").agg(F.max("overlap").alias("overlap"))
+        counts.append(staged(once.groupBy("left", "right", "n_left", "n_right").agg(F.sum("overlap").alias("overlap")), "set-overlaps"))
+    partial = counts[0]
+    for df in counts[1:]:
+        partial = partial.unionByName(df)
+    total = partial.groupBy("left", "right", "n_left", "n_right").agg(F.sum("overlap").alias("overlap"))
     return total.where(rule.links(F.col("overlap"), F.col("n_left"), F.col("n_right"))).select("left", "right", "overlap", "n_left", "n_right")
 
 

@@ -148,13 +148,14 @@ def _aligned(block: Block, seeds: np.ndarray, min_seeds: int, min_score: float):
 
 
 def _seeds(block: Block, seen: Counter, rare_docs: float) -> np.ndarray:
-    """Which rows of ``grams`` are rare: in few documents, or in the rarer half of their item."""
+    """Which rows of ``grams`` are rare: in few documents, or in the rarer half of those of their item that occur."""
     count = np.array([seen.get(i, 0) for i in range(len(block.grams))])
-    order = np.lexsort((block.grams, count, block.items))
+    order = np.lexsort((block.grams, count, count == 0, block.items))
     sizes = np.bincount(block.items, minlength=len(block.words))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return (count <= rare_docs) | (place < (sizes[block.items] + 1) // 2)
+    occurring = np.bincount(block.items[count > 0], minlength=len(block.words))
+    return (count <= rare_docs) | (place < (occurring[block.items] + 1) // 2)
 
 
 def find_leaks(

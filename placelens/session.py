@@ -35,9 +35,14 @@ def _local_root() -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Sessions without one, as in tests, get a temporary folder.
+    Local sessions without one, as in tests, get a temporary folder. On a cluster its
+    lack is an error, since executors do not see each other's disks.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_root()
+    root = spark.conf.get(CHECKPOINT_DIR, None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/placelens/{label}-{uuid.uuid4().hex}"
 
 

@@ -37,7 +37,8 @@ def _line(cells: dict[str, Column]) -> Column:
     written = [
         cells[c].cast("string") if c in _NUMBERS else csv_cell(cells[c]) for c in V.CSV_COLUMNS
     ]
-    return F.concat_ws(",", *written)
+    # A null cell is empty; left out, it would shift the cells after it.
+    return F.concat_ws(",", *[F.coalesce(w, F.lit("")) for w in written])
 
 
 def flatten_reviews(documents: DataFrame, *keys: str) -> DataFrame:

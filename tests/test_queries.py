@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks.catalog import ORACLES, QUERIES
 from compare import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Row-at-a-time Python, all-pairs joins and whole-group Python have no place in any plan.
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "FlatMapGroupsInPandas")
 
@@ -33,3 +33,7 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_registers_them_all():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.items() <= entry.oracle_sql().items()

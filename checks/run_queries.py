@@ -182,8 +182,8 @@ def dry_counts(t):
     _fold(
         """SELECT f.place_key, f.round, CAST(stale AS BIGINT) AS dry_count, n.captured_ms - r.captured_ms AS observed_ms,
         CAST(least(600000 * power(2, greatest(stale - 1, 0)), 600000 * 4) AS BIGINT) AS expected_ms,
-        n.captured_ms - r.captured_ms BETWEEN least(600000 * power(2, greatest(stale - 1, 0)), 600000 * 4) * CAST(0.85 AS DOUBLE)
-          AND least(600000 * power(2, greatest(stale - 1, 0)), 600000 * 4) * CAST(1.15 AS DOUBLE) AS in_range
+        n.captured_ms - r.captured_ms BETWEEN least(600000 * power(2, greatest(stale - 1, 0)), 600000 * 4) * CAST(0.85 AS DOUBLE) + 500
+          AND least(600000 * power(2, greatest(stale - 1, 0)), 600000 * 4) * CAST(1.15 AS DOUBLE) + 500 AS in_range
         FROM fold f JOIN rounds r USING (place_key, round) JOIN rounds n ON n.place_key = f.place_key AND n.round = f.round + 1""",
         until="",
     ),

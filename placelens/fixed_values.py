@@ -43,6 +43,7 @@ SPINNERS_PER_DRY_ROUND = 3
 POLL_DELAY_MS = 3000
 POLL_DELAY_MULTIPLIER = 4
 POLL_JITTER = 0.15
+POLL_SETTLE_MS = 500
 MAX_RETRIES = 2
 RETRY_BASE_MS = 2000
 RETRY_FACTOR = 4

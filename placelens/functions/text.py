@@ -92,3 +92,15 @@ def utf16_prefix(c: Column, units: int) -> Column:
         last_unit.between("D8", "DB"), F.concat(whole, F.lit("\ufffd"))
     ).otherwise(F.decode(cut, "UTF-16BE"))
     return F.when(short.rlike(ASTRAL), exact).otherwise(short)
+
+
+def strict_json(text: Column) -> Column:
+    """The text as VARIANT; null unless all of it is one JSON value.
+
+    The parser stops after the first value. Read once as an array's item and once
+    as an object's member, a value must be followed by both closing marks, which
+    only the added ones can be.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(item.isNotNull(), F.try_variant_get(member, "$.v", "variant"))

@@ -148,7 +148,9 @@ def header_rows(pages: DataFrame) -> DataFrame:
     """
     texts = dict(zip(V.COUNT_SOURCES, ("tab_text", "badge_text", "body_snippet")))
     parsed = {
-        source: headers.review_count(F.left(c, F.lit(V.BODY_SNIPPET_CHARS)))
+        source: headers.review_count(
+            F.left(c, F.lit(V.BODY_SNIPPET_CHARS)) if c == "body_snippet" else F.col(c)
+        )
         for source, c in texts.items()
     }
     first = headers.first_count({source: F.col(f"_{source}") for source in texts})

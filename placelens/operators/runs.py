@@ -131,7 +131,7 @@ def retry_gap_audit(attempts: DataFrame) -> DataFrame:
 
 def poll_delay(dry_count: Column, base_ms: int, multiplier: int) -> Column:
     """Wait after a round: doubles with each dry round up to a multiple of the base."""
-    doubled = base_ms * F.pow(F.lit(2.0), F.least(F.greatest(dry_count - 1, F.lit(0)), F.lit(30)))
+    doubled = base_ms * F.pow(F.lit(2.0), F.greatest(dry_count - 1, F.lit(0)))
     return F.least(doubled, F.lit(float(base_ms * multiplier)))
 
 
@@ -140,8 +140,12 @@ def poll_gap_audit(
     base_ms: int = V.POLL_DELAY_MS,
     multiplier: int = V.POLL_DELAY_MULTIPLIER,
     jitter: float = V.POLL_JITTER,
+    settle_ms: int = V.POLL_SETTLE_MS,
 ) -> DataFrame:
-    """Waits between consecutive rounds against the expected wait and its jitter."""
+    """Waits between consecutive rounds against the expected wait and its jitter.
+
+    After each jittered wait the page gets a fixed ``settle_ms`` to settle.
+    """
     following = rounds.select(
         *PLACE, (F.col("round") - 1).alias("round"), F.col("captured_ms").alias("next_ms")
     )
@@ -160,7 +164,8 @@ def poll_gap_audit(
         .withColumn(
             "in_range",
             F.col("observed_ms").between(
-                F.col("expected_ms") * (1 - jitter), F.col("expected_ms") * (1 + jitter)
+                F.col("expected_ms") * (1 - jitter) + settle_ms,
+                F.col("expected_ms") * (1 + jitter) + settle_ms,
             ),
         )
     )

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from placelens.operators import captures as C
 from placelens.operators import collect, naming, validation
 from placelens.operators.assemble import REVIEWS_PER_PART, assemble_documents
-from placelens.operators.locations import pending_locations, valid_locations, verify_identity
+from placelens.operators.locations import classify_locations, pending_locations, verify_identity
 from placelens.operators.ordered import block_of, ranked
 from placelens.operators.reviews import normalise_reviews
-from placelens.operators.runs import batch_summary
 from placelens.session import staged
 from placelens.sinks.writers import commit_run_state, write_output
 from placelens.sources.readers import read_location_lists, read_raw_documents, read_run_state
@@ -65,27 +64,28 @@ def collect_places(
     requests: DataFrame,
     sort_order: str = "newest",
     max_reviews: int | None = None,
-    check_sort: bool = False,
+    check_sort: bool = True,
     selectors: dict[str, str] | None = None,
 ) -> Collected:
     """Captured pages of any number of locations to headers and reviews.
 
-    Pages are read once and staged without their HTML; later steps read only the
-    columns they need. Pages in a wrong state or of a wrong place are returned
-    as ``rejected``. ``check_sort`` also rejects pages that do not announce the
-    wanted order.
+    Captures meet their requests before any HTML is read, so only wanted pages are.
+    The judged pages are staged without their HTML; later steps read only the columns
+    they need. The stored table also forgets the join's partitioning by location,
+    which would else let a hot location stay in one task. Pages in a wrong state or
+    of a wrong place are returned as ``rejected``, and unless ``check_sort`` is off
+    also pages that do not announce the wanted order.
     """
-    read = C.read_pages(captures, PAGE_KEYS, selectors, PAGE_FIELDS)
+    asked = verify_identity(captures, requests)
+    found = [c for c in asked.columns if c not in captures.columns]
+    read = C.read_pages(asked, (*PAGE_KEYS, *found), selectors, PAGE_FIELDS)
     states = C.sort_verified(C.page_state(read), sort_order).drop("body_text", "sort_text")
-    pages = staged(states, "pages")
-
-    known = verify_identity(pages, requests)
     reason = (
         F.when(F.col("page_state") != "ok", F.col("page_state"))
         .when(~F.col("verified"), F.col("error_kind"))
         .when(F.lit(check_sort) & ~F.col("sort_verified"), "SORT_VERIFY")
     )
-    judged = known.withColumn("reject_reason", reason)
+    judged = staged(states.withColumn("reject_reason", reason), "pages")
     good = judged.filter(F.col("reject_reason").isNull())
     rejected = judged.filter(F.col("reject_reason").isNotNull()).select(
         PLACE, "round", "pass_no", "resolved_url", "reject_reason"
@@ -98,11 +98,18 @@ def collect_places(
     )
     reviews = collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews))
     if max_reviews is not None:
-        reviews = staged(collect.cap_per_location(reviews, max_reviews), "capped-reviews")
+        kept = staged(reviews, "kept-reviews")
+        reviews = staged(collect.cap_per_location(kept, max_reviews), "capped-reviews")
     return Collected(_headers(good), reviews, rejected)
 
 
-def run_batch(
+class BatchRun(NamedTuple):
+    summary: DataFrame  # one row, also for an empty run
+    failures: DataFrame  # source_file, ordinal, input, reason: inputs without output
+    files: DataFrame  # input, filename: what this run wrote
+
+
+def batch_run(
     spark: SparkSession,
     list_path: str,
     captures: DataFrame,
@@ -112,22 +119,38 @@ def run_batch(
     max_reviews: int | None = None,
     resume: bool = False,
     run_id: str = "run",
-    batch_id: int = 0,
-) -> DataFrame:
-    """List to files, run state and a summary row.
+    batch_id: int | None = None,
+    check_sort: bool = True,
+) -> BatchRun:
+    """List to files, run state, a summary row and the inputs that failed.
 
     ``captures`` holds the pages of this run and ``place_key`` the location input
-    a page was loaded for; pages of other inputs are read but not used. Only
-    inputs without finished output are worked on when ``resume`` is set. State
-    is written after the output, so a crash never marks unfinished work. Each
-    run needs its own ``batch_id``; running one again replaces what it wrote.
+    a page was loaded for. With ``resume`` only inputs that the last run, and those
+    it resumed, did not complete are worked on; without it a new run begins, to
+    which later resumed runs belong. An input listed twice gives two files.
+
+    Files go to ``batch-<batch_id>``; by default the id is the next free one. No
+    committed file or state row is ever removed: names avoid all committed ones of
+    the same format, and state only grows. State is written after the output, so a
+    crash never marks unfinished work; files that the state does not name are left
+    over from a stopped run, and the same work done again replaces them.
+
+    Reasons of failures: ``INVALID_LOCATION``, ``NO_CAPTURE``, or why the location's
+    last page was rejected. The exit code is 1 if a location failed or the list has
+    no valid input, and 0 if nothing was left to do.
     """
     started_ms = int(time.time() * 1000)
-    state_path = f"{out_path.rstrip('/')}/_state"
-    inputs = valid_locations(read_location_lists(spark, list_path))
-    pending = staged(
-        pending_locations(inputs, read_run_state(spark, state_path, resume)), "pending"
-    )
+    root = out_path.rstrip("/")
+    state_path = f"{root}/_state"
+    listed = staged(classify_locations(read_location_lists(spark, list_path)), "listed")
+    valid = listed.filter(F.col("kind").isNotNull())
+    state = read_run_state(spark, state_path).withColumn("run_no", F.coalesce("run_no", F.lit(0)))
+    last = state.agg(F.max("batch_id").alias("batch"), F.max("run_no").alias("run")).first()
+    if batch_id is None:
+        batch_id = 0 if last.batch is None else last.batch + 1
+    run_no = 0 if last.run is None else last.run + (0 if resume else 1)
+    done = state.filter(F.lit(resume) & (F.col("run_no") == run_no))
+    pending = staged(pending_locations(valid, done), "pending")
     arrival = ranked(
         pending.withColumn("_list", F.lit(1)),
         ["_list"],
@@ -135,38 +158,65 @@ def run_batch(
         [F.col("source_file"), F.col("ordinal")],
         "arrival",
     )
-    requests = arrival.groupBy(F.col("input").alias(PLACE)).agg(
-        F.min("arrival").alias("arrival"), F.first("place_id").alias("place_id")
+    entries = staged(
+        arrival.select("source_file", "ordinal", F.col("input").alias(PLACE), "arrival", "place_id"),
+        "entries",
     )
-    documents = staged(
-        collect_places(captures, requests, sort_order, max_reviews).documents(sort_order),
-        "documents",
-    )
-    used = read_run_state(spark, state_path).filter(
-        F.col("file_stem").isNotNull() & ~F.col("batch_id").eqNullSafe(batch_id)
+    requests = entries.groupBy(PLACE).agg(F.first("place_id").alias("place_id"))
+    collected = collect_places(captures, requests, sort_order, max_reviews, check_sort)
+    documents = staged(collected.documents(sort_order), "documents")
+    used = state.filter(F.col("file_stem").isNotNull()).select(
+        F.concat("file_stem", F.lit("."), F.coalesce("format", F.lit(fmt))).alias("filename")
     )
     names = documents.filter("part_no = 0").select(PLACE, "business.name")
     planned = naming.file_plan(
-        names.join(requests.select(PLACE, "arrival"), PLACE),
-        used.select(F.concat("file_stem", F.lit(f".{fmt}")).alias("filename")),
-        f".{fmt}",
-    )
-    stems = staged(
-        planned.select(PLACE, F.regexp_replace("filename", rf"\.{fmt}\z", "").alias("file_stem")),
-        "stems",
+        names.join(entries.select(PLACE, "arrival"), PLACE), used, f".{fmt}"
     )
+    stem = F.expr(f"left(filename, length(filename) - {len(fmt) + 1})")
+    stems = staged(planned.select(PLACE, "filename", stem.alias("file_stem")), "stems")
     write_output(
-        documents.join(stems, PLACE), f"{out_path.rstrip('/')}/batch-{batch_id}", fmt,
-        per_location=True, mode="overwrite",
+        documents.join(stems.select(PLACE, "file_stem"), PLACE), f"{root}/batch-{batch_id}", fmt,
+        per_location=True, mode="overwrite", dynamic=True,
+    )
+    commit_run_state(
+        stems.select(
+            F.col(PLACE).alias("input"), "file_stem", F.lit(fmt).alias("format"),
+            F.lit(run_no).cast("bigint").alias("run_no"),
+        ),
+        state_path, batch_id, mode="append",
     )
-    commit_run_state(stems.withColumnRenamed(PLACE, "input"), state_path, batch_id)
-    outcomes = requests.join(names, PLACE, "left").select(
-        F.lit(run_id).alias("run_id"),
-        F.col("name").isNotNull().alias("ok"),
-        F.lit(started_ms).cast("bigint").alias("started_ms"),
-        F.lit(int(time.time() * 1000)).cast("bigint").alias("ended_ms"),
+    outcomes = entries.join(names, PLACE, "left")
+    ended_ms, failed = int(time.time() * 1000), F.count_if(F.col("name").isNull())
+    summary = outcomes.agg(
+        F.count_if(F.col("name").isNotNull()).alias("succeeded"),
+        failed.alias("failed"),
+        F.count("*").alias("total"),
+    ).select(
+        F.lit(run_id).alias("run_id"), "succeeded", "failed", "total",
+        F.lit(ended_ms - started_ms).cast("bigint").alias("elapsed_ms"),
+        F.when((F.col("failed") > 0) | F.lit(valid.isEmpty()), 1).otherwise(0).cast("bigint").alias("exit_code"),
     )
-    return batch_summary(outcomes)
+    why = collected.rejected.groupBy(PLACE).agg(
+        F.max_by("reject_reason", F.struct("round", "pass_no")).alias("reason")
+    )
+    failures = (
+        outcomes.filter(F.col("name").isNull()).join(why, PLACE, "left")
+        .select(
+            "source_file", "ordinal", F.col(PLACE).alias("input"),
+            F.coalesce("reason", F.lit("NO_CAPTURE")).alias("reason"),
+        )
+        .unionByName(
+            listed.filter(F.col("kind").isNull()).select(
+                "source_file", "ordinal", "input", F.lit("INVALID_LOCATION").alias("reason")
+            )
+        )
+    )
+    return BatchRun(summary, failures, stems.select(F.col(PLACE).alias("input"), "filename"))
+
+
+def run_batch(*args, **options) -> DataFrame:
+    """The summary row of ``batch_run``, which takes the same arguments."""
+    return batch_run(*args, **options).summary
 
 
 def validate_path(

@@ -91,6 +91,8 @@ RUN_STATE = T.StructType(
     [
         T.StructField("input", T.StringType()),
         T.StructField("file_stem", T.StringType()),
+        T.StructField("format", T.StringType()),
+        T.StructField("run_no", T.LongType()),
         T.StructField("completed_at", T.TimestampType()),
         T.StructField("batch_id", T.LongType()),
     ]

@@ -94,12 +94,14 @@ def write_output(
     fmt: str,
     per_location: bool = False,
     mode: str = "errorifexists",
+    dynamic: bool = False,
 ) -> None:
     """Writes documents as ``json`` or ``csv``.
 
     ``per_location`` gives each document its own folder, named by its
     ``file_stem`` column; a text row is a whole file, so no shuffle is needed.
-    Suited to many thousands of locations, not to hundreds of millions.
+    Suited to many thousands of locations, not to hundreds of millions. With
+    ``dynamic``, overwriting replaces only the folders of the documents given.
     """
     if fmt not in V.OUTPUT_FORMATS:
         raise ValueError(f"format must be one of {V.OUTPUT_FORMATS}")
@@ -111,21 +113,27 @@ def write_output(
     (
         documents.select("file_stem", "part_no", content.alias("value"))
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy("file_stem", "part_no")
         .text(path)
     )
 
 
-def commit_run_state(completed: DataFrame, path: str, batch_id: int = 0) -> None:
+def commit_run_state(
+    completed: DataFrame, path: str, batch_id: int = 0, mode: str = "overwrite"
+) -> None:
     """Records completed inputs. Call it after their output is written.
 
-    A batch overwrites only its own folder, so replaying a batch changes nothing.
+    A batch overwrites only its own folder, so replaying a batch changes nothing;
+    with ``append`` it adds to what the folder holds.
     """
-    stem = F.col("file_stem") if "file_stem" in completed.columns else F.lit(None).cast("string")
+    kinds = {"file_stem": "string", "format": "string", "run_no": "bigint"}
+    facts = [
+        (F.col(c) if c in completed.columns else F.lit(None)).cast(kind).alias(c)
+        for c, kind in kinds.items()
+    ]
     (
-        completed.select(
-            "input", stem.alias("file_stem"), F.current_timestamp().alias("completed_at")
-        )
-        .write.mode("overwrite")
+        completed.select("input", *facts, F.current_timestamp().alias("completed_at"))
+        .write.mode(mode)
         .parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     )

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens import schemas
-from placelens.functions.text import trimmed
+from placelens.functions.text import strict_json, trimmed
 from placelens.operators.ordered import ranked
 
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
@@ -31,7 +31,7 @@ def read_location_lists(spark: SparkSession, path: str) -> DataFrame:
     whole = (
         spark.read.text(path, wholetext=True)
         .filter(size <= WHOLE_FILE_BYTES)
-        .select(file, "value", F.try_parse_json("value").alias("_json"))
+        .select(file, "value", strict_json(F.col("value")).alias("_json"))
         .withColumn("_items", F.try_variant_get("_json", "$", "array<variant>"))
     )
     item = F.col("item")
@@ -108,7 +108,7 @@ def state_inputs(documents: DataFrame, *keys: str, text: str = "value") -> DataF
 
     Anything but an object with an array of texts counts as an empty state.
     """
-    items = F.try_variant_get(F.try_parse_json(F.col(text)), "$.completed", "array<variant>")
+    items = F.try_variant_get(strict_json(F.col(text)), "$.completed", "array<variant>")
     well_formed = F.forall("_items", lambda x: F.schema_of_variant(x) == "STRING")
     inputs = F.transform("_items", lambda x: F.try_variant_get(x, "$", "string"))
     return (

@@ -3,7 +3,8 @@
 import json
 
 from placelens import schemas
-from placelens.plans.jobs import collect_places, run_batch, validate_path
+from placelens.plans.jobs import batch_run, collect_places, run_batch, validate_path
+from placelens.sources.readers import read_run_state
 
 SHORT = "https://maps.app.goo.gl/"
 
@@ -40,7 +41,7 @@ def requests(spark):
 
 
 def test_collect_places(spark):
-    found = collect_places(captures(spark), requests(spark), "newest")
+    found = collect_places(captures(spark), requests(spark), "newest", check_sort=False)
     docs = {r.place_key[-1]: r for r in found.documents("newest").collect()}
     assert set(docs) == {"a", "b", "d"}
     a = docs["a"]
@@ -58,11 +59,11 @@ def test_cap_and_wrong_place(spark):
     asked = spark.createDataFrame(
         [(f"{SHORT}a", None), (f"{SHORT}b", "0x1:0x2")], "place_key string, place_id string"
     )
-    found = collect_places(captures(spark), asked, "newest", max_reviews=2)
+    found = collect_places(captures(spark), asked, "newest", max_reviews=2, check_sort=False)
     docs = found.documents("newest").collect()
     assert [[r.id for r in d.reviews] for d in docs] == [["1", "2"]]
     assert {r.reject_reason for r in found.rejected.collect()} == {"NAV_VERIFY"}
-    unsorted_ = collect_places(captures(spark), asked, "highest", check_sort=True)
+    unsorted_ = collect_places(captures(spark), asked, "highest")
     assert unsorted_.documents("highest").count() == 0
 
 
@@ -71,14 +72,52 @@ def test_batch_with_resume(spark, tmp_path):
     (tmp_path / "all.txt").write_text("\n".join(f"{SHORT}{x}" for x in "abcde"))
     out = str(tmp_path / "out")
     stored = captures(spark)
-    first = run_batch(spark, str(tmp_path / "one.txt"), stored, out, "csv", batch_id=1).collect()[0]
+    first = run_batch(spark, str(tmp_path / "one.txt"), stored, out, "csv", batch_id=1, check_sort=False).collect()[0]
     assert (first.succeeded, first.failed, first.exit_code) == (1, 0, 0)
-    second = run_batch(spark, str(tmp_path / "all.txt"), stored, out, "json", resume=True, batch_id=2).collect()[0]
+    second = run_batch(spark, str(tmp_path / "all.txt"), stored, out, "json", resume=True, batch_id=2, check_sort=False).collect()[0]
     assert (second.succeeded, second.failed, second.total, second.exit_code) == (2, 2, 4, 1)
     stems = sorted(p.parent.parent.name for p in (tmp_path / "out").rglob("part-*.txt"))
-    assert stems == ["file_stem=empty", "file_stem=gym", "file_stem=gym-2"]
-    gym2 = next((tmp_path / "out" / "batch-2" / "file_stem=gym-2").rglob("*.txt"))
-    assert json.loads(gym2.read_text())["reviews"][0]["text"] == "other place"
-    issues, summary = validate_path(spark, str(gym2))
+    assert stems == ["file_stem=empty", "file_stem=gym", "file_stem=gym"]  # gym.csv and gym.json
+    gym = next((tmp_path / "out" / "batch-2" / "file_stem=gym").rglob("*.txt"))
+    assert json.loads(gym.read_text())["reviews"][0]["text"] == "other place"
+    issues, summary = validate_path(spark, str(gym))
     assert issues.count() == 0
     assert [(r.valid, r.name, r.review_count) for r in summary.collect()] == [(True, "Gym", 1)]
+
+
+def _left_behind(spark, out):
+    files = sorted(str(p.relative_to(out).parent.parent) + "|" + p.read_text() for p in out.rglob("part-*.txt"))
+    state = sorted((r.input[-1], r.batch_id, r.run_no, r.file_stem) for r in read_run_state(spark, f"{out}/_state").collect())
+    return files, state
+
+
+def test_repeated_batches_remove_nothing(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("\n".join(f"{SHORT}{x}" for x in "aab"))
+    out, stored = tmp_path / "out", captures(spark)
+    for given in ({"batch_id": 7}, {}):
+        options = {"resume": True, "check_sort": False, **given}
+        run_batch(spark, str(tmp_path / "list.txt"), stored, str(out), **options).collect()
+        before = _left_behind(spark, out)
+        again = run_batch(spark, str(tmp_path / "list.txt"), stored, str(out), **options).collect()[0]
+        assert _left_behind(spark, out) == before
+        assert (again.total, again.exit_code) == (0, 0)
+    files, state = before
+    assert sorted(f.split("|")[0] for f in files) == [f"batch-7/file_stem={x}" for x in ("gym", "gym-2", "gym-3")]
+    assert [s[:3] for s in state] == [("a", 7, 0), ("a", 7, 0), ("b", 7, 0)]
+    fresh = batch_run(spark, str(tmp_path / "list.txt"), stored, str(out), check_sort=False)
+    assert fresh.summary.collect()[0].total == 3
+    assert {r.filename for r in fresh.files.collect()} == {"gym-4.json", "gym-5.json", "gym-6.json"}
+    assert set(files) <= set(_left_behind(spark, out)[0])
+
+
+def test_why_inputs_failed(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("\n".join([*(f"{SHORT}{x}" for x in "ace"), "nonsense"]))
+    run = batch_run(spark, str(tmp_path / "list.txt"), captures(spark), str(tmp_path / "out"))
+    assert {(r.input[-1], r.reason) for r in run.failures.collect()} == {
+        ("a", "SORT_VERIFY"), ("c", "limited_view"), ("e", "NO_CAPTURE"), ("e", "INVALID_LOCATION"),
+    }
+    summary = run.summary.collect()[0]
+    assert (summary.succeeded, summary.failed, summary.total, summary.exit_code) == (0, 3, 3, 1)
+    (tmp_path / "bad.txt").write_text("nonsense")
+    empty = run_batch(spark, str(tmp_path / "bad.txt"), captures(spark), str(tmp_path / "out")).collect()[0]
+    assert (empty.total, empty.exit_code) == (0, 1)

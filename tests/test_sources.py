@@ -26,6 +26,7 @@ CONTENT = {
     "object.json": '{"a": 1}',
     "empty.txt": "",
     "broken.json": f"[{SHORT}a",
+    "lines_of_arrays.txt": '["x"]\n["y"]',
 }
 WANT = {
     "lines.txt": [f"{SHORT}a", f"{SHORT}b", "nonsense", f"{SHORT}a"],
@@ -33,6 +34,7 @@ WANT = {
     "pretty.json": [f"{SHORT}a", f"{SHORT}b"],
     "object.json": ['{"a": 1}'],
     "broken.json": [f"[{SHORT}a"],
+    "lines_of_arrays.txt": ['["x"]', '["y"]'],
 }
 
 
@@ -79,6 +81,7 @@ def test_state_files(spark, tmp_path):
     texts = {
         "ok": '{"completed": ["x", "y"], "more": 1}', "empty": '{"completed": []}', "mixed": '{"completed": ["x", 1]}',
         "text": '{"completed": "x"}', "none": "{}", "array": '["x"]', "broken": "{",
+        "trailing": '{"completed": ["x"]} more', "closed": '{"completed": ["x"]}],[', "member": '{"completed": ["x"]},"a":1',
     }
     for name, text in texts.items():
         (tmp_path / name).write_text(text)

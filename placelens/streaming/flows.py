@@ -12,6 +12,7 @@ from placelens import fixed_values as V
 from placelens.functions import reviews as R
 from placelens.functions.text import trimmed
 from placelens.operators import captures as C
+from placelens.operators.locations import verify_identity
 from placelens.operators.reviews import normalise_reviews
 from placelens.session import ROCKSDB, STATE_STORE
 from placelens.sinks.writers import commit_run_state
@@ -34,17 +35,41 @@ PAYLOAD = T.StructType(
 )
 
 
-def stream_pages(captures: DataFrame, selectors: dict[str, str] | None = None) -> DataFrame:
-    """Good pages of a capture stream (or table), without their HTML."""
-    fields = ("body_text", "asks_sign_in", "loading", "cards")
-    keys = ("place_key", "round", "pass_no", "resolved_url")
-    pages = C.page_state(C.read_pages(captures, keys, selectors, fields))
-    return pages.filter("page_state = 'ok'").drop("body_text", "asks_sign_in", "page_state")
-
+def stream_pages(
+    captures: DataFrame,
+    selectors: dict[str, str] | None = None,
+    requests: DataFrame | None = None,
+    sort_order: str | None = None,
+) -> DataFrame:
+    """Pages of a capture stream (or table) without their HTML, and whether each is ``ok``.
 
-def stream_reviews(captures: DataFrame, selectors: dict[str, str] | None = None) -> DataFrame:
-    """Capture files to valid reviews. Stateless, so it scales with the files."""
-    return normalise_reviews(C.card_rows(stream_pages(captures, selectors)))
+    A page is not ok in a wrong state, with ``requests`` (a table of ``place_key,
+    place_id``) when it shows another place, and with ``sort_order`` when it does not
+    announce that order. Such pages stay, as their rounds have to be counted past.
+    Pages of places without a request go.
+    """
+    fields = ["body_text", "asks_sign_in", "loading", "cards", *(["sort_text"] if sort_order else [])]
+    keys = ["place_key", "round", "pass_no", "resolved_url"]
+    if requests is not None:
+        captures, keys = verify_identity(captures, requests), [*keys, "verified"]
+    pages = C.page_state(C.read_pages(captures, keys, selectors, fields))
+    ok = F.col("page_state") == "ok"
+    if requests is not None:
+        ok = ok & F.col("verified")
+    if sort_order:
+        pages = C.sort_verified(pages, sort_order)
+        ok = ok & F.col("sort_verified")
+    return pages.select("place_key", "round", "pass_no", "resolved_url", "loading", "cards", F.coalesce(ok, F.lit(True)).alias("ok"))
+
+
+def stream_reviews(
+    captures: DataFrame,
+    selectors: dict[str, str] | None = None,
+    requests: DataFrame | None = None,
+    sort_order: str | None = None,
+) -> DataFrame:
+    """Capture files to valid reviews of good pages. Stateless, so it scales with the files."""
+    return normalise_reviews(C.card_rows(stream_pages(captures, selectors, requests, sort_order).filter("ok")))
 
 
 def stream_dedup(
@@ -65,7 +90,8 @@ def stream_dedup(
 def captured_reviews(pages: DataFrame) -> DataFrame:
     """One row per capture with its valid reviews as ``ARRAY<review_id, body>``.
 
-    Keeps captures without reviews, which the stop rule counts.
+    Keeps captures without reviews, which the stop rule counts, and pages that are
+    not ok, without their reviews, which it counts past.
     """
 
     def review(card: Column) -> Column:
@@ -94,10 +120,13 @@ def captured_reviews(pages: DataFrame) -> DataFrame:
             F.struct(id_.alias("review_id"), F.to_json(body).alias("body")),
         )
 
-    with_id = F.filter("cards", lambda c: F.length(c["review_id"]) > 0)
+    shown = F.when(F.col("ok"), F.col("cards")).otherwise(F.array().cast(pages.schema["cards"].dataType))
+    with_id = F.filter(shown, lambda c: F.length(c["review_id"]) > 0)
     return pages.select(
         "place_key",
         "round",
+        "pass_no",
+        "ok",
         "loading",
         F.array_compact(F.transform(with_id, review)).alias("reviews"),
     )
@@ -108,25 +137,41 @@ def stream_collect(
     max_reviews: int | None = None,
     first_round: int = 0,
     timeout_ms: int | None = None,
+    run_key: str | None = None,
+    second_looks: bool = False,
+    forget_ms: int | None = None,
 ) -> DataFrame:
     """First copies, cap and stop rule per location, one row per event.
 
-    ``rounds`` has one row per polling round: ``place_key, round, loading,
-    reviews``. Rounds that arrive early wait in state until those before them
-    are in, so the result does not depend on how files split the rounds.
-    Accepted reviews come out as ``kind = review`` with their ordinal and
-    ``body``; the end of a location as ``kind = stop`` with the reason.
-    State is one small record per location and one key per id, each read on its
-    own; it is dropped when the location ends. Needs the RocksDB state store.
+    ``rounds`` has one row per page: ``place_key, round, loading, reviews`` and, if
+    there, ``pass_no`` (0) and ``ok`` (true). Pages that arrive early wait in state
+    until those before them are in, so the result does not depend on how files split
+    them. A round whose pages are not ok brings nothing and is no dry round.
+
+    With ``second_looks`` a page that shows the indicator and brings nothing new is
+    followed by a second one of the same round (``pass_no`` 1), and the round ends
+    with that. No other second page is taken; without the option one is an error.
+
+    Accepted reviews come out as ``kind = review`` with their ordinal and ``body``;
+    the end of a location as ``kind = stop`` with the reason. ``run_key`` names a
+    column: each of its values is a run of its own. State is one small record per
+    location and one key per id. Ids go when the location ends; the record stays, to
+    pass over late pages, until ``forget_ms`` later. Needs the RocksDB state store.
     """
+    keys = [*([run_key] if run_key else []), "place_key"]
+    output = T.StructType([*[rounds.schema[k] for k in keys], *collector.EVENT])
+    given = {"pass_no": F.lit(0), "ok": F.lit(True)}
+    facts = [F.coalesce(*([F.col(c)] if c in rounds.columns else []), v).alias(c) for c, v in given.items()]
     processor = collector.LocationCollector(
-        max_reviews, first_round, V.MAX_DRY_ROUNDS, V.SPINNERS_PER_DRY_ROUND, timeout_ms
+        output.names, max_reviews, first_round, V.MAX_DRY_ROUNDS, V.SPINNERS_PER_DRY_ROUND,
+        second_looks, timeout_ms, forget_ms,
     )
-    return rounds.groupBy("place_key").transformWithStateInPandas(
+    pages = rounds.select(*keys, "round", "loading", "reviews", *facts)
+    return pages.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=collector.OUTPUT,
+        outputStructType=output,
         outputMode="Append",
-        timeMode="None" if timeout_ms is None else "ProcessingTime",
+        timeMode="None" if timeout_ms is None and forget_ms is None else "ProcessingTime",
     )
 
 
@@ -145,12 +190,15 @@ def start_with_rocksdb(df: DataFrame, start: Callable[[DataFrame], StreamingQuer
 
 
 def stream_batch_state(
-    outcomes: DataFrame, state_path: str, checkpoint: str, write_batch: Callable[[DataFrame, int], None]
+    outcomes: DataFrame, state_path: str, checkpoint: str, write_batch: Callable[[DataFrame, int], None],
+    **trigger,
 ) -> StreamingQuery:
     """Writes each batch of finished locations, then commits their inputs.
 
     ``outcomes`` has ``input`` and ``ok``. Output and state are keyed by batch
-    id: a batch replayed after a failure replaces itself.
+    id: a batch replayed after a failure replaces itself. The stream numbers its
+    batches itself, so give it a state path of its own. ``trigger`` takes the options
+    of a stream's trigger; by default all that is there is worked on.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
@@ -160,7 +208,7 @@ def stream_batch_state(
     return (
         outcomes.writeStream.foreachBatch(commit)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -73,7 +73,7 @@ def round_counts(rounds: DataFrame, first_seen: DataFrame) -> DataFrame:
 
     ``rounds`` has one or more pages per (place_key, round) with ``loading``
     and optionally ``captured_ms``; ``first_seen`` is the deduplicated table.
-    A round counts as loading when its first page showed the indicator.
+    A round counts as loading when any of its pages showed the indicator.
     """
     new = first_seen.groupBy(*PLACE, "round").agg(F.count("*").alias("new_reviews"))
     time = {"captured_ms": F.min("captured_ms")} if "captured_ms" in rounds.columns else {}

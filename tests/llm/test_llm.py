@@ -184,6 +184,33 @@ def test_leaks(spark, odd):
     assert find_leaks(odd, bench).count() == 0
 
 
+def test_leaks_against_alignment_of_everything(spark):
+    """Edited, stretched and partial copies, many of each item, of which word n-grams survive in few or none."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(30)]
+    items = [[rng.choice(common) if rng.random() < 0.4 else f"q{k}x{j}" for j in range(length)] for k, length in enumerate((4, 5, 7, 16, 40, 40))]
+    texts = []
+    for words in items:
+        texts += [[w if j % 4 else "new" for j, w in enumerate(words)], [x for w in words for x in (w, "new")][:-1], [x for w in words for x in (w, "a", "b")]]
+        texts += [words[: (len(words) * 21 + 39) // 40] for _ in range(30)] + [words] * 3
+        for _ in range(25):
+            own, share = [], rng.random() * 0.6
+            for w in words[rng.randrange(len(words)) // 3 :]:
+                kind = rng.random() / share if share else 9
+                own += [w] if kind > 1 else [] if kind < 0.3 else ["new"] if kind < 0.6 else [w, rng.choice(common)]
+            texts.append(own)
+    texts = [[rng.choice(common) for _ in range(rng.randrange(40))] + t + [rng.choice(common) for _ in range(rng.randrange(40))] for t in texts]
+    texts.append([w for t in texts[::5] for w in t])
+    number = {}
+    coded = lambda words: np.array([number.setdefault(w, len(number)) for w in words])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    scores = {(i, k): align(coded(item), coded(t))[0] / (2 * len(item)) for i, t in enumerate(texts) for k, item in enumerate(items)}
+    for min_score in (0.5, 0.75, 0.3):
+        got = {(r.id, r.item_id): r.score for r in find_leaks(docs, bench, min_score=min_score).collect()}
+        assert got == {x: score for x, score in scores.items() if score >= min_score}
+
+
 def test_alignment_by_cells():
     rng = np.random.default_rng(0)
     for _ in range(50):

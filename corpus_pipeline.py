@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that five-word shingles link at a similarity of 0.8: the one of the smallest id."""
-    groups = near_duplicates(docs, words=5, percent=80)
+    groups = near_duplicates(docs, words=5, percent=80, count_links=False)
     gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone")).distinct()
     # Drops grow with the input, so they are never broadcast.
     kept = docs.select(*COLUMNS).join(staged(gone, "near-drops").hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")

@@ -12,7 +12,9 @@ document's set falls into segments. Segments serve twice:
 Copies are one node. In a large group of near copies pairs aren't all made: nodes
 first meet one hub of their bucket, linked ones become one component, and only
 nodes of different components meet after that. So no link between components is
-lost.
+lost. Links are counted afterwards: both ends of a link are in one component, whose
+sets meet in blocks. A task counts the links of two blocks as products of matrices
+and gives one row for each set, never one for each pair.
 """
 
 from collections.abc import Iterator
@@ -33,6 +35,10 @@ SEGMENT_GRAMS = 128
 PARITY_WORDS = 16
 SEEN_KEYS = 50_000
 COUNT_PASSES = 4
+# A component's blocks have about BLOCK_SETS sets, or more where that makes more than BLOCKS of them, but at most MOST_SETS.
+BLOCK_SETS, BLOCKS, MOST_SETS = 256, 16, 4096
+BLOCK_GRAMS = 2_000_000
+COLUMNS = 1024
 
 
 class Rule(NamedTuple):
@@ -290,20 +296,74 @@ def _pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.distinct().withColumn("pieces", pieces)
 
 
+def _block_links(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of each set with those of the other block, or of its own where there is one block only."""
+        lists = table.column("grams").combine_chunks()
+        nodes, row_node = np.unique(np.array(table.column("node").to_pylist(), object), return_inverse=True)
+        block, size = np.empty(len(nodes), np.int64), np.empty(len(nodes), np.int64)
+        block[row_node], size[row_node] = table.column("block").to_numpy(), table.column("n").to_numpy()
+        at = np.repeat(row_node, lists.value_lengths().to_numpy())
+        # Only n-grams of several sets overlap; repeated rows of a set count once.
+        _, gram, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        keep = times[gram] > 1
+        _, gram = np.unique(gram[keep], return_inverse=True)
+        at, order = at[keep], np.argsort(gram, kind="stable")
+        gram, at = gram[order], at[order]
+        one = block.min() == block.max()
+        left = np.flatnonzero(block == block.min())
+        right = left if one else np.flatnonzero(block == block.max())
+        overlap = np.zeros((len(left), len(right)), np.int64)
+        for first in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
+            a, b = np.searchsorted(gram, [first, first + COLUMNS])
+            holds = np.zeros((len(nodes), COLUMNS), np.float32)
+            holds[at[a:b], gram[a:b] - first] = 1
+            overlap += (holds[left] @ holds[right].T).astype(np.int64)
+        linked = overlap * 100 >= (size[left][:, None] + size[right][None, :] - overlap) * rule.percent
+        count = np.zeros(len(nodes), np.int64)
+        if one:
+            np.fill_diagonal(linked, False)
+            count[left] = linked.sum(axis=1)
+        else:
+            count[left], count[right] = linked.sum(axis=1), linked.sum(axis=0)
+        return pa.table({"node": pa.array(nodes.tolist(), pa.binary()), "n_links": pa.array(count)})
+
+    return run
+
+
+def _link_counts(groups: DataFrame, facts: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, n_links): with how many other nodes each node of ``groups`` links, all pairs of a component compared."""
+    sized = staged(groups.join(facts.select("node", "n"), "node"), "set-sized")
+    total = sized.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    few = F.least(F.ceil(F.col("sets") / BLOCK_SETS), F.lit(BLOCKS))
+    total = total.select("group", "sets", F.greatest(few, F.ceil(F.col("sets") / MOST_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
+    placed = sized.join(total, "group")
+    pairs = placed.where("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    own = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n") / F.lit(float(SEGMENT_GRAMS)))))).cast("int")
+    larger = placed.where("sets > 2").select("node", "group", "n", own.alias("pieces"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    larger = larger.join(parts, ["node", "pieces"])
+    met = larger.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "block", "grams")
+    counted = met.groupBy("group", "low", "high").applyInArrow(_block_links(rule), "node binary, n_links long")
+    return staged(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")).unionByName(pairs), "set-degrees")
+
+
 class Linked(NamedTuple):
     members: DataFrame  # id, node, n: every row
-    links: DataFrame  # left, right, overlap, n_left, n_right: pairs of nodes that were compared and link
+    links: DataFrame  # left, right, overlap, n_left, n_right: links that span every component, not all of them
     groups: DataFrame  # node, group: every node with a link; group is a node
+    counts: DataFrame | None  # node, n_links: every node with a link, all its links counted
 
 
-def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> Linked:
+def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, count_links: bool = True) -> Linked:
     """Links texts whose sets of ``words``-grams have 100 * Jaccard >= ``percent``.
 
     Words are runs without blanks, A-Z lower-cased. Fewer words than ``words`` are one
     n-gram; texts without words (null, empty, blank) have no node and no link. Equal
     sets are one node. ``rounds`` rounds join nodes with one hub of each bucket before
-    the last round, which compares all that are not joined yet. Ids may be null or
-    repeat: every row is a member of its own.
+    the last round, which compares all that are not joined yet. With ``count_links``
+    all links of each node are counted then. Ids may be null or repeat: every row is a
+    member of its own.
     """
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must lie in (0, 100] and words be at least 1")
@@ -358,26 +418,28 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         found = staged(_counted(_pairs(met, rule), parts, rule), "set-links")
         links = found if links is None else links.unionByName(found)
         groups = components(links.select("left", "right"))
-    return Linked(members, links, groups)
+    return Linked(members, links, groups, _link_counts(groups, facts, parts, rule) if count_links else None)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, its own included; a row
-    without words is its own component. ``n_links`` counts other nodes found linked
-    with the row's text (within a component not all pairs are compared). Null ids
-    reach others like any row; a component of null ids only has a null component_id.
+    without words is its own component. ``n_links`` is the number of all other
+    different sets that link with the row's; without ``count_links`` it is left out.
+    Null ids reach others like any row; a component of null ids only has a null
+    component_id.
     """
-    linked = ngram_links(docs, words, percent, id_col, text_col)
-    ends = linked.links.select(F.explode(F.array("left", "right")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = ngram_links(docs, words, percent, id_col, text_col, count_links=count_links)
     per_node = linked.members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     per_node = per_node.join(linked.groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = per_node.groupBy("group").agg(F.min("least").alias("component_id"))
-    per_node = per_node.join(least, "group").join(ends, "node", "left").select("node", "component_id", "n_links")
+    per_node = per_node.join(least, "group").select("node", "component_id")
+    if count_links:
+        per_node = per_node.join(linked.counts, "node", "left")
     return linked.members.join(per_node, "node", "left").select(
         "id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )

@@ -124,6 +124,28 @@ def test_near_duplicates(spark, n, percent):
     assert got == {i: (len(s), g) for i, s, g in zip(ids, sets, _groups(ids, sets, percent))}
 
 
+def test_links_are_all_counted(spark, monkeypatch):
+    """Groups of many near copies, chains, copies and long texts, in one block and in several."""
+    rng = random.Random(11)
+    texts = []
+    for size, length in ((40, 60), (3, 30), (2, 40), (12, 900), (1, 20)):
+        words = [f"g{size}x{k}" for k in range(length)]
+        for k in range(size):
+            texts.append(" ".join(words))
+            if k % 7 != 6:
+                words = list(words) if rng.random() < 0.7 else [f"g{size}x{j}" for j in range(length)]
+                words[rng.randrange(length)] = f"z{rng.randrange(10**6)}"
+    texts += [None, "", texts[0].upper()]
+    sets = _sets(texts, 3)
+    kinds = set(sets) - {frozenset()}
+    want = [sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) if a else 0 for a in sets]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr("placelens.llm.ngram_join.BLOCK_SETS", 5)
+    monkeypatch.setattr("placelens.llm.ngram_join.COLUMNS", 20)
+    got = {r.id: r.n_links for r in near_duplicates(df, 3, 80).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()

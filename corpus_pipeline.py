@@ -35,12 +35,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that five-word shingles link at a similarity of 0.8: the one of the smallest id."""
-    groups = near_duplicates(docs, words=5, percent=80, count_links=False)
-    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone")).distinct()
+    """Keeps one document of each group that five-word shingles link at a similarity of 0.8: the one of the smallest id.
+
+    Each row is decided on by itself, by its id and a hash of its text: a row without an id goes
+    where another of its group has one. Rows of equal id and text share their fate.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("row"))
+    groups = near_duplicates(docs.select(key.alias("key"), "text"), words=5, percent=80, id_col="key", count_links=False)
+    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")).distinct()
     # Drops grow with the input, so they are never broadcast.
-    kept = docs.select(*COLUMNS).join(staged(gone, "near-drops").hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
-    return kept
+    kept = docs.select(*COLUMNS, key.alias("key")).join(staged(gone, "near-drops").hint("merge"), F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return kept.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

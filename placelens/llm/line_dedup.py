@@ -91,7 +91,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
 
     Documents come in ``batches`` of rising id, so what a run knows is always from a
     smaller id. Null or empty text: one empty line. Rows with the same id are one
-    document. A null id comes after all others. A null text stays null. An empty
+    document, of which each row loses only lines of its own: drops are kept by id and
+    a hash of the text. Rows without an id are one document, which comes after all
+    others. A null text stays null. An empty
     table gives an empty result. A line that is in very many documents is combined
     before its shuffle and its join is split by adaptive execution.
     """
@@ -101,9 +103,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     cuts = sorted(set(cuts or []))
     batch = sum(((F.col("_id") > c).cast("int") for c in cuts), F.lit(0))
 
-    lines = docs.select(ident.alias("_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
-    keys = lines.select("_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    keys = keys.select("_id", "pos", F.unhex(F.md5("key")).alias("hash"), batch.alias("batch"))
+    row = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))  # rows of equal id and text lose the same lines
+    lines = docs.select(ident.alias("_id"), row.alias("_row"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
+    keys = lines.select("_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    keys = keys.select("_id", "_row", "pos", F.unhex(F.md5("key")).alias("hash"), batch.alias("batch"))
     path = new_path(spark, "line-keys")
     keys.write.partitionBy("batch").parquet(path)
     keys = spark.read.schema(keys.schema).parquet(path)
@@ -113,16 +116,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
         own = keys.where(F.col("batch") == b).groupBy("hash").agg(F.min("_id").alias("owner"))
         runs.add(runs.unknown(own))
     gone = keys.join(runs.owners(), "hash").where(F.col("_id") != F.col("owner"))
-    gone = gone.groupBy("_id").agg(F.collect_set("pos").alias("__llm_gone"))
+    gone = gone.groupBy("_id", "_row").agg(F.collect_set("pos").alias("__llm_gone"))
     gone = staged(gone, "line-drops")
     runs.forget()
 
     # Drops grow with the input, so they are never broadcast, however few they are here.
-    joined = docs.withColumn("__llm_id", ident).join(gone.withColumnRenamed("_id", "__llm_id").hint("merge"), "__llm_id", "left")
+    gone = gone.select(F.col("_id").alias("__llm_id"), F.col("_row").alias("__llm_row"), "__llm_gone")
+    joined = docs.withColumn("__llm_id", ident).withColumn("__llm_row", row).join(gone.hint("merge"), ["__llm_id", "__llm_row"], "left")
     joined = joined.withColumn("__llm_parts", F.split(F.coalesce(text_col, F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__llm_parts") - 1), F.col("__llm_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.col("__llm_parts")[i]), "\n")
-    text = F.when(F.col("__llm_gone").isNull(), F.col(text_col)).otherwise(kept)
+    text = F.when(F.col("__llm_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns],
         F.size("__llm_parts").cast("long").alias("n_lines"),

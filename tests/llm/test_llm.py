@@ -83,6 +83,35 @@ def test_lines(spark, odd):
     assert one == {(r.doc_id, r.text, r.n_dropped) for r in dedup_lines(odd, batches=5, fanout=2).collect()}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Against brute force: a row loses lines of its own only, whatever others of its id lose."""
+    rng = random.Random(4)
+    ids = [None] * 6 + [3] * 4 + [1, 2, 5, 9]
+    rows = [(i, "\n".join(f"a line of number {rng.randrange(25)}" for _ in range(rng.randrange(1, 7)))) for i in ids] + [(None, None), (3, None)]
+    owner = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            owner[line] = min(owner.get(line, math.inf), math.inf if i is None else i)
+    want = []
+    for i, t in rows:
+        kept = [x for x in (t or "").split("\n") if not x or owner[x] == (math.inf if i is None else i)]
+        want.append((i, None if t is None else "\n".join(kept)))
+    got = [(r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_dedup_decides_per_row(spark):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    from corpus_pipeline import near_dedup
+
+    words = [f"w{k}" for k in range(80)]
+    near = [" ".join(words[:k] + ["new"] + words[k + 1 :]) for k in (0, 79)]
+    rows = [(1, " ".join(words)), (5, near[0]), (5, "only this row holds these words"), (None, near[1]), (None, "nor does any other hold these words"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in near_dedup(spark, docs, SF_DIR).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 def _sets(rows, n):
     out = []
     for t in rows:

@@ -7,12 +7,14 @@ histogram and the plan are bounded by the capacity, not by the data.
 """
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,11 @@ from pyspark.sql import types as T
 from placelens.llm.storage import staged
 from placelens.operators.ordered import ranked
 
-BLANKS = re.compile("[ \t-\r]+")
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+MARKS = ".,;:!?"
+# Composed letters below U+0250 that stay one letter in lower case, and a mark.
+PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+CACHED_WORDS, CACHED_CHARS, WORDS_AT_ONCE = 500_000, 48, 4096
+ENCODE_BYTES = 2 << 20
 BLOCK_PIECES = 65_536
 MAX_CAPACITY = 1 << 16
 RANK_BITS = 40
@@ -71,30 +76,78 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _WordIds:
-    """Ids of texts by a tokenizer whose tokens never reach over blanks; words met lately are looked up."""
+    """Ids of texts by a tokenizer whose tokens never reach over blanks; words met lately are looked up.
+
+    Words of Latin letters, with a mark or none after them, need nothing of the library
+    but its model: composed letters stay as they are, and the mark is a word of its own.
+    All other words go through the library whole.
+    """
 
     def __init__(self, tokenizer: bytes):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(tokenizer.decode())
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words = BLANKS.split(text)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        long: dict[str, list[int]] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (known if len(word) <= CACHED_CHARS else long)[word] = found.ids
-        out: list[int] = []
+        self.model = self.tokenizer.model
+        self.letter = dict(zip(range(256), sorted(tokenizers.pre_tokenizers.ByteLevel.alphabet(), key=_byte_of)))
+        self.marks = {m: packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in MARKS}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids_of_letters(self, core: str) -> bytes:
+        lower = core.lower()
+        shown = lower if lower.isascii() else "".join([self.letter[b] for b in lower.encode()])
+        return packed([token.id for token in self.model.tokenize(shown)])
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not known; those of usual length are kept."""
+        known, older, others, long = self.known, self.older, [], {}
         for word in words:
-            out += known[word] if word in known else long[word]
+            if word in older:
+                known[word] = older[word]
+                continue
+            plain = PLAIN.fullmatch(word)
+            if plain and len(word) <= CACHED_CHARS:
+                core, mark = plain.groups()
+                ids = known.get(core) or older.get(core)
+                if ids is None:
+                    ids = known[core] = self._ids_of_letters(core)
+                if mark:
+                    known[word] = ids + self.marks[mark]
+            else:
+                others.append(word)
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            some = others[at : at + WORDS_AT_ONCE]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                (known if len(word) <= CACHED_CHARS else long)[word] = packed(found.ids)
+        return long
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin in them. Each different word is looked up once."""
+        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = parts.flatten().dictionary_encode()
+        unique = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        long = self._learn([w for w in unique if w not in known])
+        ids = [known[w] if w in known else long[w] for w in unique]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), words.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], lengths) + np.arange(ends[-1])
         if len(known) >= CACHED_WORDS:
-            known.clear()
-        return out
+            self.known, self.older = {}, known
+        return flat[places], ends[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])]
+
+
+def _byte_of(shown: str) -> int:
+    """The byte that a character of byte-level entries stands for: printable ones for themselves, the rest from U+0100 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return ord(shown) if ord(shown) in plain else sorted({*range(256)} - {*plain})[ord(shown) - 256]
 
 
 _ENCODERS: dict[int, _WordIds] = {}
@@ -123,6 +176,8 @@ def token_pieces(
         key = hash(tokenizer)
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, _WordIds(tokenizer))
 
+        last = np.array([end_id], "<u4")
+
         def flush():
             columns = [keys.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
             if with_ids:
@@ -131,20 +186,19 @@ def token_pieces(
 
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            rows, numbers, starts, lengths, sums, kept, size = [], [], [], [], [], [], 0
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                ids = np.array([*(encoder.encode(text) if text else ()), end_id], "<u4")
-                for number, start in enumerate(range(0, len(ids), capacity)):
-                    piece = ids[start : start + capacity]
-                    rows.append(i), numbers.append(number), starts.append(start), lengths.append(len(piece)), sums.append(zlib.crc32(piece.tobytes()))
-                    if with_ids:
-                        kept.append(piece.astype(np.int32))
-                size += len(ids)
-                if size > 1 << 20:
-                    yield flush()
-                    rows, numbers, starts, lengths, sums, kept, size = [], [], [], [], [], [], 0
-            if rows:
+            begins = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))])
+            end = 0
+            while end < batch.num_rows:
+                begin, end = end, max(end + 1, int(np.searchsorted(begins, begins[end] + ENCODE_BYTES, "right")) - 1)
+                ids, bounds = encoder.encode(texts.slice(begin, end - begin))
+                rows, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
+                for i, low, high in zip(range(begin, end), bounds, bounds[1:]):
+                    own = np.append(ids[low:high], last)
+                    for number, start in enumerate(range(0, len(own), capacity)):
+                        piece = own[start : start + capacity]
+                        rows.append(i), numbers.append(number), starts.append(start), lengths.append(len(piece)), sums.append(zlib.crc32(piece))
+                        if with_ids:
+                            kept.append(piece.view("<i4"))
                 yield flush()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -242,18 +242,15 @@ def _documents(t):
 @query(
     "collect_reviews",
     B.with_views(
-        """SELECT place_key, CAST(before // 2 AS BIGINT) AS part_no, count(*) AS review_count,
-        string_agg(review_id, ',' ORDER BY ordinal) AS review_ids FROM (SELECT *, count(*) OVER (PARTITION BY place_key
-        ORDER BY round, pos // 2 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS before FROM numbered) GROUP BY ALL""",
+        """SELECT place_key, count(*) AS review_count, string_agg(review_id, ',' ORDER BY ordinal) AS review_ids
+        FROM numbered GROUP BY ALL""",
         **DOC_VIEWS,
     ),
 )
 def collect_reviews(t):
-    """Parts of two reviews, so that splitting a location is exercised too."""
     ids = F.transform("reviews", lambda r: r["id"])
-    return assemble.collect_reviews(_first_seen(t), per_part=2).select(
-        "place_key", "part_no", F.size("reviews").cast("bigint").alias("review_count"),
-        F.array_join(ids, ",").alias("review_ids"),
+    return assemble.collect_reviews(_first_seen(t)).select(
+        "place_key", F.size("reviews").cast("bigint").alias("review_count"), F.array_join(ids, ",").alias("review_ids")
     )
 
 
@@ -366,13 +363,79 @@ def write_reviews_csv(t):
     )
 
 
-def _written(t, fmt):
+def _written(t, fmt, headers=None, reviews=None):
+    """One file for each location, read back whole."""
     path = scratch_path(t.spark, f"out-{fmt}")
-    stems = F.concat(F.lit("p-"), F.col("place_key")).alias("file_stem")
-    writers.write_output(_documents(t).select("*", stems), path, fmt, per_location=True)
+    lines = assemble.document_lines(headers or _headers(t), reviews or _first_seen(t), "newest", fmt)
+    writers.write_files(lines.withColumn("file_stem", F.concat(F.lit("p-"), F.col("place_key"))), path)
     return t.spark.read.text(path, wholetext=True)
 
 
+# Locations of more than 5,000 reviews, already at the smallest scale.
+LARGE_REVIEWS = """
+SELECT 'all' AS place_key, CAST(l_orderkey % 50 AS INT) AS round, CAST(0 AS INT) AS pass_no, l_orderkey AS pos,
+ 'r' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS review_id, 'A "' || l_suppkey || '", B' AS author, CAST(NULL AS STRING) AS author_url,
+ 'a week ago' AS publish_time, CAST(l_quantity AS INT) % 6 AS rating, CASE l_linenumber % 3 WHEN 0 THEN '=' || l_returnflag WHEN 1 THEN '' ELSE 'left ' || l_orderkey END AS text,
+ CAST(NULL AS STRING) AS original_text, l_linenumber % 4 AS photos, CASE WHEN l_linenumber % 2 = 0 THEN 'Thanks' END AS owner_response_text,
+ 'a day ago' AS owner_response_time FROM lineitem
+UNION ALL SELECT 'n' || n_nationkey, 0, 0, 0, 'r' || n_nationkey, n_name, NULL, 'now', 5, n_name, NULL, 0, NULL, NULL FROM nation WHERE n_nationkey < 20
+"""
+LARGE_HEADERS = """
+SELECT place_key, 'Place ' || place_key AS name, CAST(NULL AS STRING) AS place_id, 'u' AS url, CAST(NULL AS STRING) AS address, CAST(4.5 AS DOUBLE) AS header_rating,
+ CAST(9 AS BIGINT) AS header_total_reviews, '2025-01-01T00:00:00.000Z' AS scrape_date, CAST(1500 AS BIGINT) AS scrape_duration_ms
+FROM (SELECT 'all' AS place_key UNION ALL SELECT 'n' || n_nationkey FROM nation)
+"""
+
+
+def _json_text(c):
+    return f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+
+
+LARGE_VIEWS = {
+    "raw_reviews": LARGE_REVIEWS.replace("STRING", "VARCHAR"), "headers": LARGE_HEADERS.replace("STRING", "VARCHAR"), "shaped": B.SHAPED, "numbered": """
+ SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY round, pos, review_id) AS ordinal, count(*) OVER (PARTITION BY place_key) AS n FROM shaped""",
+    "totals": "SELECT h.*, coalesce(n, 0) AS total FROM headers h LEFT JOIN (SELECT DISTINCT place_key, n FROM numbered) USING (place_key)",
+}
+_FIELDS = {"id": "review_id", "author": "author", "authorUrl": "author_url", "publishTime": "publish_time", "rating": "rating", "text": "text",
+           "originalText": "original_text", "originalLanguage": "original_language", "photos": "photos"}
+_RESPONSE = {"text": "response_text", "originalText": "response_text", "originalLanguage": "response_language", "publishTime": "response_time"}
+
+
+def _lines_of(fields, pad):
+    return " || ',' || chr(10) || ".join(f"'{pad}\"{k}\": ' || {_json_text(c)}" for k, c in fields.items())
+
+
+LARGE_JSON = f"""SELECT place_key, 0 AS section, 0 AS ordinal, concat('{{', chr(10), '  "business": {{', chr(10), {_lines_of({"name": "name", "placeId": "place_id", "url": "url", "address": "address", "rating": "header_rating", "totalReviews": "total", "headerTotalReviews": "header_total_reviews", "scrapeDate": "scrape_date"}, "    ")},
+ chr(10), '  }},', chr(10), '  "reviews": [', CASE WHEN total = 0 THEN '],' ELSE '' END) AS line FROM totals
+UNION ALL SELECT place_key, 1, ordinal, concat('    {{', chr(10), {_lines_of(_FIELDS, "      ")}, ',', chr(10), '      "ownerResponse": ',
+ CASE WHEN response_text IS NULL THEN 'null' ELSE concat('{{', chr(10), {_lines_of(_RESPONSE, "        ")}, chr(10), '      }}') END, chr(10), '    }}', CASE WHEN ordinal < n THEN ',' ELSE '' END) FROM numbered
+UNION ALL SELECT place_key, 2, 0, concat(CASE WHEN total = 0 THEN '' ELSE '  ],' || chr(10) END, '  "metadata": {{', chr(10), '    "provider": "playwright",', chr(10),
+ '    "scrapeDurationMs": ', scrape_duration_ms, ',', chr(10), '    "reviewsCollected": ', total, ',', chr(10), '    "sortOrder": "newest"', chr(10), '  }}', chr(10), '}}') FROM totals"""
+LARGE_CSV = f"""SELECT place_key, 0 AS section, 0 AS ordinal, '{HEADER_LINE}' AS line FROM headers UNION ALL
+SELECT place_key, 1, ordinal, {LINE} FROM (SELECT n.*, h.name AS business_name, response_text AS owner_response_text, response_time AS owner_response_time FROM numbered n JOIN headers h USING (place_key))"""
+LARGE_FILES = """SELECT 'p-' || place_key AS file_stem, CAST(1 AS BIGINT) AS files, CAST(sum(length(line) + 1) AS BIGINT) AS chars,
+ sha256(string_agg(line || chr(10), '' ORDER BY section, ordinal)) AS content_sha256 FROM ({}) GROUP BY ALL"""
+
+
+def _large(t, fmt):
+    reviews = staged(normalise_reviews(t.sql(LARGE_REVIEWS)), "large-reviews")
+    files = _written(t, fmt, t.sql(LARGE_HEADERS), reviews)
+    return files.groupBy("file_stem").agg(
+        F.count("*").alias("files"), F.sum(F.length("value")).alias("chars"), F.max(F.sha2("value", 256)).alias("content_sha256")
+    )
+
+
+@query("write_large_location_json", B.with_views(LARGE_FILES.format(LARGE_JSON), **LARGE_VIEWS))
+def write_large_location_json(t):
+    """All line items as the reviews of one location: one file, byte by byte."""
+    return _large(t, "json")
+
+
+@query("write_large_location_csv", B.with_views(LARGE_FILES.format(LARGE_CSV), **LARGE_VIEWS))
+def write_large_location_csv(t):
+    return _large(t, "csv")
+
+
 @query(
     "write_output_csv_per_location",
     B.with_views(
@@ -662,8 +725,8 @@ def document_summary(t):
 def read_review_documents(t):
     """Writes documents one per file, reads them back as columns."""
     path = scratch_path(t.spark, "docs")
-    stems = F.concat(F.lit("p-"), F.col("place_key")).alias("file_stem")
-    writers.write_output(_documents(t).select("*", stems), path, "json", per_location=True)
+    lines = assemble.document_lines(_headers(t), _first_seen(t), "newest", "json")
+    writers.write_files(lines.withColumn("file_stem", F.concat(F.lit("p-"), F.col("place_key"))), path)
     docs = readers.read_review_documents(t.spark, path)
     ids = F.transform("reviews", lambda r: r["id"])
     return docs.select(

@@ -1,18 +1,17 @@
 """Result documents: one per location, with reconciled counts.
 
-The flat review table is the primary product. Documents are built at the end,
-in parts of bounded size, so that no array ever holds a whole hot location.
+The flat review table is the primary product. A document is either one row, with its
+reviews as an array, or the rows of its text, which have no bound in number.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
-from placelens.operators.collect import ROUNDS_PER_BLOCK, seen_blocks, seen_order
-from placelens.operators.ordered import block_of, running
+from placelens.functions.export import csv_line, flat_review, indented
+from placelens.operators.collect import number_reviews, seen_order
 
 PLACE = ["place_key"]
-REVIEWS_PER_PART = 5000
 
 
 def _review_struct():
@@ -31,41 +30,15 @@ def _review_struct():
     return F.struct(*[F.col(c).alias(n) for n, c in names.items()])
 
 
-def review_parts(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFrame:
-    """Part number and size ``_n`` of each block: one row per location and block.
+def collect_reviews(reviews: DataFrame) -> DataFrame:
+    """Reviews as one array in collection order, one row per location.
 
-    A block goes to the part its first review falls in, so a part holds less
-    than ``per_part`` rows plus one block. Only block counts meet per location.
+    An array is a value of one row, so a location has to fit one (2 GB). What has to
+    hold for any size goes through ``document_lines``.
     """
-    names = _block_names(reviews)
-    sizes = (
-        reviews.withColumns(dict(zip(names, seen_blocks(reviews, per_part))))
-        .groupBy(*PLACE, *names)
-        .agg(F.count("*").alias("_n"))
-    )
-    rounds = block_of(F.col(names[0]), ROUNDS_PER_BLOCK)
-    through = running(sizes, PLACE, [rounds], [F.col(n) for n in names], sums={"_through": F.col("_n")})
-    part = F.floor((F.col("_through") - F.col("_n")) / per_part)
-    return through.withColumn("part_no", part).drop("_through")
-
-
-def _block_names(reviews: DataFrame) -> list[str]:
-    return [f"_part{i}" for i in range(len(seen_blocks(reviews)))]
-
-
-def collect_reviews(reviews: DataFrame, per_part: int = REVIEWS_PER_PART) -> DataFrame:
-    """Reviews as arrays in collection order, one row per (location, part)."""
-    names = _block_names(reviews)
     entry = F.struct(*seen_order(reviews), _review_struct().alias("review"))
-    return (
-        reviews.withColumns(dict(zip(names, seen_blocks(reviews, per_part))))
-        .join(review_parts(reviews, per_part).drop("_n"), [*PLACE, *names])
-        .groupBy(*PLACE, "part_no")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(
-            *PLACE, "part_no", F.transform("_entries", lambda e: e["review"]).alias("reviews")
-        )
-    )
+    entries = reviews.groupBy(*PLACE).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    return entries.select(*PLACE, F.transform("_entries", lambda e: e["review"]).alias("reviews"))
 
 
 def reconcile_counts(headers: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -89,39 +62,9 @@ def coverage_gap(reconciled: DataFrame) -> DataFrame:
     )
 
 
-def assemble_documents(
-    headers: DataFrame,
-    reviews: DataFrame,
-    sort_order: str,
-    per_part: int = REVIEWS_PER_PART,
-) -> DataFrame:
-    """``place_key, part_no, n_parts, business, reviews, metadata``.
-
-    A location without reviews gets a document with an empty array. Headers
-    spread over (location, part) before the join, so the wide arrays stay where
-    the aggregation put them and a hot location's parts stay apart. ``reviews``
-    is read three times, twice for keys only: hand in a stored table.
-    """
-    if sort_order not in V.SORT_ORDERS:
-        raise ValueError(f"sort order must be one of {V.SORT_ORDERS}")
+def _business():
     c = F.col
-    of_place = Window.partitionBy(*PLACE)
-    sizes = (
-        review_parts(reviews, per_part)
-        .groupBy(*PLACE, "part_no")
-        .agg(F.sum("_n").alias("_n"))
-        .select(
-            *PLACE,
-            "part_no",
-            F.sum("_n").over(of_place).alias("total_reviews"),
-            F.count("*").over(of_place).alias("n_parts"),
-        )
-    )
-    heads = headers.join(sizes, PLACE, "left").na.fill(
-        {"part_no": 0, "total_reviews": 0, "n_parts": 1}
-    )
-    parts = collect_reviews(reviews, per_part)
-    business = F.struct(
+    return F.struct(
         c("name").alias("name"),
         c("place_id").alias("placeId"),
         c("url").alias("url"),
@@ -131,17 +74,61 @@ def assemble_documents(
         c("header_total_reviews").alias("headerTotalReviews"),
         c("scrape_date").alias("scrapeDate"),
     )
-    metadata = F.struct(
+
+
+def _metadata(sort_order: str):
+    if sort_order not in V.SORT_ORDERS:
+        raise ValueError(f"sort order must be one of {V.SORT_ORDERS}")
+    return F.struct(
         F.lit(V.PROVIDERS[0]).alias("provider"),
-        c("scrape_duration_ms").cast("double").alias("scrapeDurationMs"),
-        c("total_reviews").alias("reviewsCollected"),
+        F.col("scrape_duration_ms").cast("double").alias("scrapeDurationMs"),
+        F.col("total_reviews").alias("reviewsCollected"),
         F.lit(sort_order).alias("sortOrder"),
     )
-    return heads.join(parts, [*PLACE, "part_no"], "left").select(
-        *PLACE,
-        "part_no",
-        "n_parts",
-        business.alias("business"),
-        F.coalesce("reviews", F.array().cast(parts.schema["reviews"].dataType)).alias("reviews"),
-        metadata.alias("metadata"),
+
+
+def assemble_documents(headers: DataFrame, reviews: DataFrame, sort_order: str) -> DataFrame:
+    """``place_key, business, reviews, metadata``: one document per location, as one row.
+
+    A location without reviews gets a document with an empty array. The narrow headers
+    join the arrays where the aggregation left them.
+    """
+    metadata = _metadata(sort_order)
+    arrays = collect_reviews(reviews)
+    none = F.array().cast(arrays.schema["reviews"].dataType)
+    return (
+        headers.join(arrays, PLACE, "left")
+        .withColumn("reviews", F.coalesce("reviews", none))
+        .withColumn("total_reviews", F.size("reviews").cast("bigint"))
+        .select(*PLACE, _business().alias("business"), "reviews", metadata.alias("metadata"))
     )
+
+
+def document_lines(headers: DataFrame, reviews: DataFrame, sort_order: str, fmt: str) -> DataFrame:
+    """The text of every document as rows of lines: ``place_key, section, ordinal, value``.
+
+    Sections are 0, the opening (for CSV its header line), 1, one row for each review, and
+    2, the closing. Rows in (section, ordinal) order, a newline after each, are the file
+    that one location gets, however many reviews it has: no row holds more than one
+    review. JSON is indented by two blanks. ``reviews`` is read twice, once for keys
+    and places alone: hand in a stored table.
+    """
+    if fmt not in V.OUTPUT_FORMATS:
+        raise ValueError(f"format must be one of {V.OUTPUT_FORMATS}")
+    metadata = _metadata(sort_order)
+    numbered = number_reviews(reviews.drop("ordinal"), total="_of")
+    totals = reviews.groupBy(*PLACE).agg(F.count("*").alias("total_reviews"))
+    heads = headers.join(totals, PLACE, "left").withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0).cast("bigint")))
+    zero = F.lit(0).cast("bigint").alias("ordinal")
+    if fmt == "csv":
+        opening = heads.select(*PLACE, F.lit(0).alias("section"), zero, F.lit(",".join(V.CSV_COLUMNS)).alias("value"))
+        named = numbered.join(headers.select(*PLACE, F.col("name").alias("_business")), PLACE)
+        line = csv_line(flat_review(F.col("_business"), _review_struct()))
+        return opening.unionByName(named.select(*PLACE, F.lit(1).alias("section"), "ordinal", line.alias("value")))
+    empty = F.col("total_reviews") == 0
+    first = F.concat(F.lit('{\n  "business": '), indented(_business(), heads, 2), F.lit(',\n  "reviews": ['), F.when(empty, "],").otherwise(""))
+    last = F.concat(F.when(empty, "").otherwise("  ],\n"), F.lit('  "metadata": '), indented(metadata, heads, 2), F.lit("\n}"))
+    ends = F.array(F.struct(F.lit(0).alias("section"), first.alias("value")), F.struct(F.lit(2).alias("section"), last.alias("value")))
+    outside = heads.select(*PLACE, F.explode(ends).alias("_end")).select(*PLACE, "_end.section", zero, "_end.value")
+    review = F.concat(F.lit("    "), indented(_review_struct(), numbered, 4), F.when(F.col("ordinal") < F.col("_of"), ",").otherwise(""))
+    return outside.unionByName(numbered.select(*PLACE, F.lit(1).alias("section"), "ordinal", review.alias("value")))

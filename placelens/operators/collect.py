@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
-from placelens.operators.ordered import BLOCK_ROWS, block_of, first_n, ranked, running
+from placelens.operators.ordered import BLOCK_ROWS, Peak, block_of, first_n, ranked, running
 
 PLACE = ["place_key"]
 SEEN_ORDER = ("round", "pass_no", "pos", "review_id")
@@ -63,9 +63,12 @@ def cap_per_location(reviews: DataFrame, max_reviews: int, rank: str = "ordinal"
     )
 
 
-def number_reviews(reviews: DataFrame, rank: str = "ordinal") -> DataFrame:
-    """Ordinal of each review in collection order. Reads ``reviews`` twice: store it first."""
-    return ranked(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), rank, _coarse())
+def number_reviews(reviews: DataFrame, rank: str = "ordinal", total: str | None = None) -> DataFrame:
+    """Ordinal of each review in collection order, and with ``total`` their number at its location.
+
+    Reads ``reviews`` twice: store it first.
+    """
+    return ranked(reviews, PLACE, seen_blocks(reviews), _order_by(reviews), rank, _coarse(), total)
 
 
 def round_counts(rounds: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def dry_counts(rounds: DataFrame, rounds_per_block: int = ROUNDS_PER_BLOCK) -> D
     A round with new reviews resets the count. A dry round adds one, but while
     a loading indicator shows only every third dry round does. Counted from
     running totals: those since the last productive round are the difference to
-    their value there, which is the running maximum at productive rounds.
+    their value there, which is the running total's peak over productive rounds.
     """
     productive = F.col("new_reviews") > 0
     blocks, order = [block_of(F.col("round"), rounds_per_block)], [F.col("round")]
@@ -99,7 +102,7 @@ def dry_counts(rounds: DataFrame, rounds_per_block: int = ROUNDS_PER_BLOCK) -> D
     def one_if(c):
         return F.when(c, 1).otherwise(0).cast("bigint")
 
-    sums = running(
+    counted = running(
         rounds,
         PLACE,
         blocks,
@@ -109,21 +112,18 @@ def dry_counts(rounds: DataFrame, rounds_per_block: int = ROUNDS_PER_BLOCK) -> D
             "_plain": one_if(~productive & ~F.col("loading")),
             "_spins": one_if(~productive & F.col("loading")),
         },
-    )
-    bases = running(
-        sums,
-        PLACE,
-        blocks,
-        order,
-        maxima={
-            "_plain_base": F.when(productive, F.col("_plain")).otherwise(0),
-            "_spins_base": F.when(productive, F.col("_spins")).otherwise(0),
+        peaks={
+            f"{n}_base": Peak(n, F.when(productive, F.lit(0).cast("bigint"))) for n in ("_plain", "_spins")
         },
     )
-    spun = F.floor((F.col("_spins") - F.col("_spins_base")) / V.SPINNERS_PER_DRY_ROUND)
-    return bases.withColumn(
-        "dry_count", F.col("_plain") - F.col("_plain_base") + spun
-    ).drop("_plain", "_spins", "_plain_base", "_spins_base")
+
+    def since(n):
+        return F.col(n) - F.coalesce(f"{n}_base", F.lit(0))
+
+    spun = F.floor(since("_spins") / V.SPINNERS_PER_DRY_ROUND)
+    return counted.withColumn("dry_count", since("_plain") + spun).drop(
+        "_plain", "_spins", "_plain_base", "_spins_base"
+    )
 
 
 def stop_rounds(

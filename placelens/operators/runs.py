@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
 from placelens.operators.collect import dry_counts
-from placelens.operators.ordered import block_of, first_n, ranked, running
+from placelens.operators.ordered import Peak, block_of, first_n, ranked, running
 
 PLACE = ["place_key"]
 DAY_MS = 86_400_000
@@ -178,13 +178,12 @@ def spaced_schedule(requests: DataFrame, delay_ms: int = V.LOCATION_DELAY_MS) ->
     whichever is later; the first is not delayed. In closed form: the running
     maximum of (arrival - i * delay), plus i * delay.
     """
-    numbered = ranked(requests, ["lane"], [block_of(F.col("seq"))], [F.col("seq")], "_n")
-    offset = (F.col("_n") - 1) * delay_ms
-    slack = running(
-        numbered,
+    spaced = running(
+        requests,
         ["lane"],
-        [block_of(F.col("_n"))],
-        [F.col("_n")],
-        maxima={"_slack": F.col("arrival_ms") - offset},
+        [block_of(F.col("seq"))],
+        [F.col("seq")],
+        sums={"_n": F.lit(1).cast("bigint")},
+        peaks={"_slack": Peak("_n", F.col("arrival_ms"), -delay_ms)},
     )
-    return slack.withColumn("start_ms", F.col("_slack") + offset).drop("_n", "_slack")
+    return spaced.withColumn("start_ms", F.col("_slack") + F.col("_n") * delay_ms).drop("_n", "_slack")

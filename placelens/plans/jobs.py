@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from placelens.operators import captures as C
 from placelens.operators import collect, naming, validation
-from placelens.operators.assemble import REVIEWS_PER_PART, assemble_documents
+from placelens.operators.assemble import assemble_documents, document_lines
 from placelens.operators.locations import classify_locations, pending_locations, verify_identity
 from placelens.operators.ordered import block_of, ranked
 from placelens.operators.reviews import normalise_reviews
 from placelens.session import staged
-from placelens.sinks.writers import commit_run_state, write_output
+from placelens.sinks.writers import commit_run_state, write_files
 from placelens.sources.readers import read_location_lists, read_raw_documents, read_run_state
 
 PLACE = "place_key"
@@ -34,8 +34,13 @@ class Collected(NamedTuple):
         for name, table in self._asdict().items():
             table.createOrReplaceTempView(f"{prefix}{name}")
 
-    def documents(self, sort_order: str, per_part: int = REVIEWS_PER_PART) -> DataFrame:
-        return assemble_documents(self.headers, self.reviews, sort_order, per_part)
+    def documents(self, sort_order: str) -> DataFrame:
+        """One row per location."""
+        return assemble_documents(self.headers, self.reviews, sort_order)
+
+    def lines(self, sort_order: str, fmt: str) -> DataFrame:
+        """One row per line of a location's file, for locations of any size."""
+        return document_lines(self.headers, self.reviews, sort_order, fmt)
 
 
 def _headers(pages: DataFrame) -> DataFrame:
@@ -96,10 +101,10 @@ def collect_places(
     rounds = staged(
         collect.round_counts(good.select(PLACE, "round", "loading"), first_seen), "rounds"
     )
-    reviews = collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews))
+    # Stored also for this: what follows would else stay dealt by location alone, as the join left it.
+    reviews = staged(collect.before_stop(first_seen, collect.stop_rounds(rounds, max_reviews)), "kept-reviews")
     if max_reviews is not None:
-        kept = staged(reviews, "kept-reviews")
-        reviews = staged(collect.cap_per_location(kept, max_reviews), "capped-reviews")
+        reviews = staged(collect.cap_per_location(reviews, max_reviews), "capped-reviews")
     return Collected(_headers(good), reviews, rejected)
 
 
@@ -164,19 +169,20 @@ def batch_run(
     )
     requests = entries.groupBy(PLACE).agg(F.first("place_id").alias("place_id"))
     collected = collect_places(captures, requests, sort_order, max_reviews, check_sort)
-    documents = staged(collected.documents(sort_order), "documents")
+    headers = staged(collected.headers, "headers")
     used = state.filter(F.col("file_stem").isNotNull()).select(
         F.concat("file_stem", F.lit("."), F.coalesce("format", F.lit(fmt))).alias("filename")
     )
-    names = documents.filter("part_no = 0").select(PLACE, "business.name")
+    names = headers.select(PLACE, "name")
     planned = naming.file_plan(
         names.join(entries.select(PLACE, "arrival"), PLACE), used, f".{fmt}"
     )
     stem = F.expr(f"left(filename, length(filename) - {len(fmt) + 1})")
     stems = staged(planned.select(PLACE, "filename", stem.alias("file_stem")), "stems")
-    write_output(
-        documents.join(stems.select(PLACE, "file_stem"), PLACE), f"{root}/batch-{batch_id}", fmt,
-        per_location=True, mode="overwrite", dynamic=True,
+    lines = document_lines(headers, collected.reviews, sort_order, fmt)
+    write_files(
+        lines.join(stems.select(PLACE, "file_stem"), PLACE), f"{root}/batch-{batch_id}",
+        mode="overwrite", dynamic=True,
     )
     commit_run_state(
         stems.select(

@@ -4,10 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
-from placelens.functions.text import csv_cell
-
-_NUMBERS = ("rating", "photos")
-
+from placelens.functions.export import NUMBERS, csv_line, flat_review
 
 def document_json(documents: DataFrame) -> Column:
     """The document as JSON with every null spelled out."""
@@ -16,51 +13,20 @@ def document_json(documents: DataFrame) -> Column:
     )
 
 
-def _flat(name: Column, review: Column) -> dict[str, Column]:
-    return {
-        "business_name": name,
-        "review_id": review["id"],
-        "author": review["author"],
-        "author_url": review["authorUrl"],
-        "rating": review["rating"],
-        "publish_time": review["publishTime"],
-        "text": review["text"],
-        "original_text": review["originalText"],
-        "original_language": review["originalLanguage"],
-        "photos": review["photos"],
-        "owner_response_text": review["ownerResponse"]["text"],
-        "owner_response_time": review["ownerResponse"]["publishTime"],
-    }
-
-
-def _line(cells: dict[str, Column]) -> Column:
-    written = [
-        cells[c].cast("string") if c in _NUMBERS else csv_cell(cells[c]) for c in V.CSV_COLUMNS
-    ]
-    # A null cell is empty; left out, it would shift the cells after it.
-    return F.concat_ws(",", *[F.coalesce(w, F.lit("")) for w in written])
-
-
 def flatten_reviews(documents: DataFrame, *keys: str) -> DataFrame:
     """One row per review with the fixed export columns."""
     rows = documents.select(*keys, "business.name", F.explode("reviews").alias("review"))
-    flat = _flat(F.col("name"), F.col("review"))
+    flat = flat_review(F.col("name"), F.col("review"))
     return rows.select(*keys, *[flat[c].alias(c) for c in V.CSV_COLUMNS])
 
 
 def csv_lines(flat: DataFrame, *keys: str) -> DataFrame:
     """Each flat row as the exact line of the CSV export."""
-    return flat.select(*keys, _line({c: F.col(c) for c in V.CSV_COLUMNS}).alias("line"))
-
-
-def csv_text(documents: DataFrame) -> Column:
-    """A document part as one CSV text, header first. Parts are bounded in size."""
-    lines = F.transform("reviews", lambda r: _line(_flat(F.col("business.name"), r)))
-    return F.array_join(F.concat(F.array(F.lit(",".join(V.CSV_COLUMNS))), lines), "\n")
+    return flat.select(*keys, csv_line({c: F.col(c) for c in V.CSV_COLUMNS}).alias("line"))
 
 
 def write_documents_json(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON Lines, one document part per line."""
+    """JSON Lines, one document per line."""
     documents.select(document_json(documents).alias("value")).write.mode(mode).text(path)
 
 
@@ -73,7 +39,7 @@ def write_reviews_csv(documents: DataFrame, path: str, mode: str = "errorifexist
                 F.col(c)
             )
             for c in V.CSV_COLUMNS
-            if c not in _NUMBERS
+            if c not in NUMBERS
         }
     )
     (
@@ -88,33 +54,35 @@ def write_reviews_csv(documents: DataFrame, path: str, mode: str = "errorifexist
     )
 
 
-def write_output(
-    documents: DataFrame,
-    path: str,
-    fmt: str,
-    per_location: bool = False,
-    mode: str = "errorifexists",
-    dynamic: bool = False,
+def write_output(documents: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:
+    """Writes documents as tables of ``json`` or ``csv`` lines."""
+    if fmt not in V.OUTPUT_FORMATS:
+        raise ValueError(f"format must be one of {V.OUTPUT_FORMATS}")
+    writer = write_documents_json if fmt == "json" else write_reviews_csv
+    writer(documents, path, mode)
+
+
+def write_files(
+    lines: DataFrame, path: str, mode: str = "errorifexists", dynamic: bool = False
 ) -> None:
-    """Writes documents as ``json`` or ``csv``.
+    """Writes the rows of ``document_lines`` with a ``file_stem``: one text file for each stem.
 
-    ``per_location`` gives each document its own folder, named by its
-    ``file_stem`` column; a text row is a whole file, so no shuffle is needed.
-    Suited to many thousands of locations, not to hundreds of millions. With
-    ``dynamic``, overwriting replaces only the folders of the documents given.
+    A file stands alone in the folder ``file_stem=..``. Rows meet by stem and are sorted,
+    with spilling, so a task writes its files line by line, and memory is the same for a
+    location of any size; a file has one writer, so the largest location bounds how fast
+    a batch can be. Suited to many thousands of locations, not to hundreds of millions.
+    With ``dynamic``, overwriting replaces only the folders of the stems given.
     """
-    if fmt not in V.OUTPUT_FORMATS:
-        raise ValueError(f"format must be one of {V.OUTPUT_FORMATS}")
-    if not per_location:
-        writer = write_documents_json if fmt == "json" else write_reviews_csv
-        writer(documents, path, mode)
-        return
-    content = document_json(documents) if fmt == "json" else csv_text(documents)
+    # Stems that can't be null keep the writer from sorting anew, which would not keep the order.
+    stem = F.coalesce("file_stem", F.lit("")).alias("file_stem")
     (
-        documents.select("file_stem", "part_no", content.alias("value"))
+        lines.select(stem, "section", "ordinal", "value")
+        .repartition("file_stem")
+        .sortWithinPartitions("file_stem", "section", "ordinal")
+        .select("file_stem", "value")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-        .partitionBy("file_stem", "part_no")
+        .partitionBy("file_stem")
         .text(path)
     )
 

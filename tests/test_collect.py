@@ -41,10 +41,8 @@ def test_first_copy_wins_and_dedup_is_idempotent(cards):
     assert once.columns == df.columns
 
 
-@pytest.mark.parametrize("pruned", [1000, 0])
 @pytest.mark.parametrize("n", [1, 4, 100])
-def test_cap(cards, monkeypatch, pruned, n):
-    monkeypatch.setattr(ordered, "PRUNED_RANK", pruned)
+def test_cap(cards, monkeypatch, n):
     monkeypatch.setattr(collect, "ROUNDS_PER_BLOCK", 2)
     rows, df = cards
     got = collect.cap_per_location(collect.dedup_first_seen(df), n)
@@ -57,9 +55,7 @@ def test_cap(cards, monkeypatch, pruned, n):
 @pytest.mark.parametrize("order,key", [
     ("newest", lambda r: 0), ("relevant", lambda r: 0), ("highest", lambda r: -r[5]), ("lowest", lambda r: r[5]),
 ])
-@pytest.mark.parametrize("pruned", [1000, 0])
-def test_orders(cards, monkeypatch, pruned, order, key):
-    monkeypatch.setattr(ordered, "PRUNED_RANK", pruned)
+def test_orders(cards, monkeypatch, order, key):
     monkeypatch.setattr(collect, "ROUNDS_PER_BLOCK", 2)
     rows, df = cards
     first = collect.dedup_first_seen(df)
@@ -73,6 +69,31 @@ def test_orders(cards, monkeypatch, pruned, order, key):
     assert top == {k: v for k, v in want.items() if v <= 3}
 
 
+@pytest.mark.parametrize("coarse", [None, 3])
+def test_running_values_in_one_pass(spark, coarse):
+    """Sums, maxima, peaks and key totals against a loop, over blocks of four and blocks of those."""
+    rng = random.Random(9)
+    rows = [(f"k{k}", i, rng.randrange(-5, 9), rng.random() < 0.2) for k in range(3) for i in range(70 * k + 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, on boolean")
+    got = ordered.running(
+        df, ["k"], [ordered.block_of(F.col("i"), 4)], [F.col("i")],
+        sums={"s": F.col("v"), "n": F.lit(1).cast("bigint")}, maxima={"m": F.col("v")},
+        peaks={"p": ordered.Peak("s", F.when(F.col("on"), F.col("v"))), "q": ordered.Peak("n", F.col("v"), -2)},
+        of_key={"s": "all_s"}, coarse=[ordered.block_of(F.col("_block0"), coarse)] if coarse else None,
+    )
+    want = []
+    for k in {r[0] for r in rows}:
+        s = n = 0
+        m = p = q = None
+        mine = [r for r in rows if r[0] == k]
+        for _, i, v, on in mine:
+            s, n, m = s + v, n + 1, v if m is None else max(m, v)
+            p = max(x for x in (p, v + s) if x is not None) if on else p
+            q = v - 2 * n if q is None else max(q, v - 2 * n)
+            want.append((k, i, v, on, sum(r[2] for r in mine), s, n, m, p, q))
+    assert sorted(map(tuple, got.select("k", "i", "v", "on", "all_s", "s", "n", "m", "p", "q").collect())) == sorted(want)
+
+
 def test_arguments_are_checked(cards):
     with pytest.raises(ValueError):
         collect.cap_per_location(cards[1], 0)

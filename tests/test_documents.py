@@ -27,15 +27,27 @@ def raw(spark, rows):
     return spark.createDataFrame(rows, schemas.RAW_REVIEW)
 
 
-def documents(spark, counts, per_part=5000):
-    """``counts``: place -> (claimed, collected)."""
+def tables(spark, counts):
+    """Headers and reviews of ``counts``: place -> (claimed, collected)."""
     heads = spark.createDataFrame(
         [(p, f"Name {p}", None, "u", None, 4.5, claimed, "2025-01-01T00:00:00Z", 7) for p, (claimed, _) in counts.items()],
         HEADER,
     )
     rows = [raw_row(i, place_key=p) for p, (_, n) in counts.items() for i in range(n)]
-    reviews = normalise_reviews(raw(spark, rows))
-    return assemble.assemble_documents(heads, reviews, "newest", per_part)
+    return heads, normalise_reviews(raw(spark, rows))
+
+
+def documents(spark, counts):
+    return assemble.assemble_documents(*tables(spark, counts), "newest")
+
+
+def files_of(lines, path):
+    """What ``write_files`` writes, by stem; each stem has one file."""
+    writers.write_files(lines.withColumn("file_stem", F.col("place_key")), str(path))
+    found = sorted(path.rglob("*.txt"))
+    texts = {f.parent.name.removeprefix("file_stem="): f.read_bytes().decode() for f in found}
+    assert len(texts) == len(found)
+    return texts
 
 
 COUNTS = {"a": (90, 3), "b": (42, 42), "c": (10, 0), "d": (None, 5), "e": (None, 0), "f": (2, 11)}
@@ -50,13 +62,32 @@ def test_counts_are_reconciled(spark):
         assert (r.metadata.provider, r.metadata.sortOrder, r.metadata.scrapeDurationMs) == ("playwright", "newest", 7.0)
 
 
-def test_large_locations_come_in_parts(spark):
-    rows = sorted(documents(spark, COUNTS, per_part=5).collect(), key=lambda r: (r.place_key, r.part_no))
-    for p, (_, n) in COUNTS.items():
-        mine = [r for r in rows if r.place_key == p]
-        assert len(mine) == max(1, -(-n // 5)) and {r.n_parts for r in mine} == {len(mine)}
-        assert [x.id for r in mine for x in r.reviews] == [f"r{i}" for i in range(n)]
-        assert {r.business.totalReviews for r in mine} == {n}
+def test_a_location_of_any_size_is_one_file(spark, tmp_path):
+    """20,000 reviews in one location: one JSON and one CSV file, byte by byte."""
+    counts = {"a": (None, 20_000), "b": (3, 1), "c": (None, 0)}
+    heads, reviews = tables(spark, counts)
+    reviews = reviews.repartition(7)
+    docs = {r.place_key: r.asDict(recursive=True) for r in assemble.assemble_documents(heads, reviews, "newest").collect()}
+    got = files_of(assemble.document_lines(heads, reviews, "newest", "json"), tmp_path / "j")
+    for p, doc in docs.items():
+        doc = {k: doc[k] for k in ("business", "reviews", "metadata")}
+        doc["metadata"]["scrapeDurationMs"] = 7  # a whole number has no fraction
+        assert got[p] == json.dumps(doc, indent=2, ensure_ascii=False) + "\n"
+        assert len(doc["reviews"]) == doc["business"]["totalReviews"] == counts[p][1]
+    lines = files_of(assemble.document_lines(heads, reviews, "newest", "csv"), tmp_path / "c")
+    assert set(lines) == set(counts)
+    for p, (_, n) in counts.items():
+        text = [f"Name {p},r{i},A,,5,t,text {i},text {i},english,0,,\n" for i in range(n)]
+        assert lines[p] == ",".join(writers.V.CSV_COLUMNS) + "\n" + "".join(text)
+
+
+def test_json_texts_are_escaped(spark, tmp_path):
+    odd = 'q"\\ \n\t\u0001 ünd 🙂 \u2028 </x>'
+    heads, _ = tables(spark, {"a": (None, 0)})
+    reviews = normalise_reviews(raw(spark, [raw_row(0, place_key="a", text=odd, owner_response_text=odd, author=odd)]))
+    doc = json.loads(files_of(assemble.document_lines(heads, reviews, "lowest", "json"), tmp_path / "j")["a"])
+    assert doc["reviews"][0]["text"] == doc["reviews"][0]["ownerResponse"]["text"] == doc["reviews"][0]["author"] == odd
+    assert doc["metadata"]["sortOrder"] == "lowest" and doc["business"]["rating"] == 4.5
 
 
 def test_json_spells_out_nulls_and_reads_back(spark, tmp_path):
@@ -87,13 +118,11 @@ def test_csv_per_location_is_byte_exact(spark, tmp_path):
     ]
     heads = spark.createDataFrame([("p", "-N", None, "u", None, None, None, "d", 1), ("q", "Q", None, "u", None, None, None, "d", 1)], HEADER)
     reviews = normalise_reviews(raw(spark, rows))
-    docs = assemble.assemble_documents(heads, reviews, "lowest").withColumn("file_stem", F.col("place_key"))
-    writers.write_output(docs, str(tmp_path / "c"), "csv", per_location=True)
+    files = files_of(assemble.document_lines(heads, reviews, "lowest", "csv"), tmp_path / "c")
     head = ("business_name,review_id,author,author_url,rating,publish_time,text,original_text,original_language,"
             "photos,owner_response_text,owner_response_time\n")
-    files = {f.parent.parent.name: f.read_bytes().decode() for f in (tmp_path / "c").rglob("*.txt")}
-    assert files["file_stem=q"] == head
-    assert files["file_stem=p"] == head + (
+    assert files["q"] == head
+    assert files["p"] == head + (
         '"\t-N",r0,"A, ""B""",,5,t,"\t=SUM(1)","\t=SUM(1)",english,0,"\t@x",now\n'
         '"\t-N",r1,A,,0,t,"a\nb",مكان,arabic,2,,\n'
     )
@@ -102,6 +131,10 @@ def test_csv_per_location_is_byte_exact(spark, tmp_path):
 def test_output_format_is_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.write_output(documents(spark, {"a": (1, 1)}), str(tmp_path), "xml")
+    with pytest.raises(ValueError):
+        assemble.document_lines(*tables(spark, {"a": (1, 1)}), "newest", "xml")
+    with pytest.raises(ValueError):
+        assemble.document_lines(*tables(spark, {"a": (1, 1)}), "oldest", "csv")
 
 
 def test_invalid_rows_go_to_the_rejects(spark):

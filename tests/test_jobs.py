@@ -76,7 +76,7 @@ def test_batch_with_resume(spark, tmp_path):
     assert (first.succeeded, first.failed, first.exit_code) == (1, 0, 0)
     second = run_batch(spark, str(tmp_path / "all.txt"), stored, out, "json", resume=True, batch_id=2, check_sort=False).collect()[0]
     assert (second.succeeded, second.failed, second.total, second.exit_code) == (2, 2, 4, 1)
-    stems = sorted(p.parent.parent.name for p in (tmp_path / "out").rglob("part-*.txt"))
+    stems = sorted(p.parent.name for p in (tmp_path / "out").rglob("part-*.txt"))
     assert stems == ["file_stem=empty", "file_stem=gym", "file_stem=gym"]  # gym.csv and gym.json
     gym = next((tmp_path / "out" / "batch-2" / "file_stem=gym").rglob("*.txt"))
     assert json.loads(gym.read_text())["reviews"][0]["text"] == "other place"
@@ -86,7 +86,7 @@ def test_batch_with_resume(spark, tmp_path):
 
 
 def _left_behind(spark, out):
-    files = sorted(str(p.relative_to(out).parent.parent) + "|" + p.read_text() for p in out.rglob("part-*.txt"))
+    files = sorted(str(p.relative_to(out).parent) + "|" + p.read_text() for p in out.rglob("part-*.txt"))
     state = sorted((r.input[-1], r.batch_id, r.run_no, r.file_stem) for r in read_run_state(spark, f"{out}/_state").collect())
     return files, state
 

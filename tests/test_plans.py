@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placelens import schemas
-from placelens.operators import captures, collect, locations, quality, validation
+from placelens.operators import captures, collect, locations, quality, runs, validation
 from placelens.operators.reviews import normalise_reviews
 
 
@@ -39,10 +39,16 @@ def test_dedup_combines_before_its_one_shuffle(raw):
     assert "partial_min" in text and re.search(r"hashpartitioning\(place_key#\d+, review_id#\d+", text)
 
 
-def test_small_caps_prune_before_the_location_shuffle(raw):
-    text = plan(collect.cap_per_location(raw, 50))
-    below = text[text.index("Exchange hashpartitioning(place_key"):]
-    assert "WindowGroupLimit" in below and "Partial" in below
+@pytest.mark.parametrize("n", [2, 200])
+def test_caps_prune_before_the_shuffle_by_block(raw, n):
+    """One plan for every cap: blocks keep their first rows on both sides of the shuffle, and only counts meet by location."""
+    text = plan(collect.cap_per_location(raw, n))
+    assert len(set(re.findall(r"ReadSchema: (struct<.*?>)\n", text))) == 2  # whole rows once, their keys and order once
+    limits = re.findall(r"WindowGroupLimit \[(.*?)\].*?, (\d+), (Partial|Final)", text)
+    assert {x[2] for x in limits} == {"Partial", "Final"} and {x[1] for x in limits} == {str(n)}
+    assert all("_block0" in x[0] for x in limits)
+    sample = plan(collect.cap_per_location(raw, 2))
+    assert re.sub(r"#\d+L?|\b(2|200)\b|plan_id=\d+|\[id=.*?\]", "", text) == re.sub(r"#\d+L?|\b(2|200)\b|plan_id=\d+|\[id=.*?\]", "", sample)
 
 
 @pytest.mark.parametrize("job", [
@@ -55,13 +61,20 @@ def test_ranks_never_window_rows_by_location_alone(raw, job):
     for window in re.findall(r"Window \[.*?\], \[(.*?)\], \[", text):
         if "," not in window:  # by location alone: only over totals of coarse blocks
             assert "_coarse0" in text
-    assert re.search(r"Window \[sum\(1\).*?\], \[place_key#\d+(, _block\d#\d+L?)+\]", text)
+    assert re.search(r"Window \[(?:sum\(1\)|row_number\(\)).*?\], \[place_key#\d+(, _block\d#\d+L?)+\]", text)
 
 
 def test_stop_rule_windows_are_blockwise(spark, tmp_path):
     spark.createDataFrame([("p", 0, 0, False)], "place_key string, round int, new_reviews bigint, loading boolean").write.parquet(str(tmp_path / "r"))
     text = plan(collect.stop_rounds(spark.read.parquet(str(tmp_path / "r"))))
     assert "collect_list" not in text and "Python" not in text
+    assert text.count("Scan parquet") <= 2
+
+
+def test_schedule_reads_its_requests_twice(spark, tmp_path):
+    spark.createDataFrame([("l", 0, 5)], "lane string, seq bigint, arrival_ms bigint").write.parquet(str(tmp_path / "s"))
+    text = plan(runs.spaced_schedule(spark.read.parquet(str(tmp_path / "s"))))
+    assert text.count("Scan parquet") <= 2
 
 
 def test_pages_are_read_without_a_shuffle(spark, tmp_path):

@@ -239,6 +239,29 @@ def read_location_lists(t):
     )
 
 
+LARGE_ITEM = "'https://maps.app.goo.gl/s' || o_orderkey || '?q=' || repeat('x', 1200)"
+
+
+@query(
+    "read_large_location_lists",
+    f"""SELECT form, CAST(row_number() OVER (PARTITION BY form ORDER BY o_orderkey) - 1 AS BIGINT) AS ordinal, sha256({LARGE_ITEM}) AS input_sha256
+    FROM orders, (SELECT 'array' AS form UNION ALL SELECT 'lines')""",
+)
+def read_large_location_lists(t):
+    """One list of all orders, of 1.2 kB each, as a JSON array over many lines and as plain lines."""
+    path = scratch_path(t.spark, "large-lists")
+    items = t.sql(f"SELECT o_orderkey, {LARGE_ITEM} AS input FROM orders")
+    last = items.agg(F.max("o_orderkey").alias("last"))
+    array = items.crossJoin(F.broadcast(last)).select(
+        "o_orderkey", F.concat(F.lit('  "'), "input", F.when(F.col("o_orderkey") < F.col("last"), '",').otherwise('"')).alias("value")
+    )
+    marks = t.spark.createDataFrame([(-1, "["), (2**62, "]")], "o_orderkey bigint, value string")
+    for form, rows in (("array", array.unionByName(marks)), ("lines", items.withColumnRenamed("input", "value"))):
+        rows.repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(f"{path}/form={form}")
+    form = F.regexp_extract("source_file", "form=([a-z]+)", 1)
+    return readers.read_location_lists(t.spark, path).select(form.alias("form"), "ordinal", F.sha2("input", 256).alias("input_sha256"))
+
+
 @query("read_run_state", "SELECT input FROM (" + B.DONE_INPUTS + ")")
 def read_run_state(t):
     path = scratch_path(t.spark, "state")

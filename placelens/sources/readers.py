@@ -1,66 +1,108 @@
 """Readers: location lists, result documents, captured pages and run state."""
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens import schemas
 from placelens.functions.text import strict_json, trimmed
-from placelens.operators.ordered import ranked
-
-WHOLE_FILE_BYTES = 16 * 1024 * 1024
-
-
-def _listed_lines(line, ordinal: str, keep: list[str], lines: DataFrame) -> DataFrame:
-    text = trimmed(F.col(line))
-    return (
-        lines.select(*keep, F.col(ordinal).cast("bigint").alias("ordinal"), text.alias("input"))
-        .filter((F.col("input") != "") & ~F.col("input").startswith("#"))
-    )
+from placelens.session import staged
+from placelens.sources.json_blocks import Block, Placed, joined, unescaped
+
+ROWS_PER_OUTPUT_BATCH = 1000
+
+SCANNED = "source_file string, block bigint, kind string, depth int, n bigint, text string"
+PLACED = "source_file string, block bigint, is_array boolean, depth int, commas bigint, lines bigint"
+
+
+def _scanned(batches):
+    """Of each block of a file: its lines, the texts that may be items, and what it does to JSON around it."""
+    names = ("source_file", "block", "kind", "depth", "n", "text")
+    types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string())
+    place = block = None
+    lines, rows = 0, []
+
+    def ended():
+        return (*place, "block", None, lines, block.summary())
+
+    def flush():
+        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_PER_OUTPUT_BATCH):
+            part = batch.slice(start, ROWS_PER_OUTPUT_BATCH)
+            for file, at, line in zip(*(part.column(k).to_pylist() for k in range(3))):
+                if (file, at) != place:
+                    if place:
+                        rows.append(ended())
+                    place, block, lines = (file, at), Block(first=at == 0), 0
+                rows.append((*place, "line", None, lines, line))
+                lines += 1
+                found = []
+                block.read(line, found)
+                rows += [(*place, "item", depth, commas, unescaped(text)) for depth, commas, text in found]
+            if rows:
+                yield flush()
+    if place:
+        rows.append(ended())
+        yield flush()
+
+
+def _placed(batches):
+    """Form of each file and place of each of its blocks; rows come by file and block."""
+    file, held = None, []
+
+    def solved():
+        is_array, places = joined([r["text"] for r in held])
+        lines, out = 0, []
+        for k, r in enumerate(held):
+            place = places[k] if is_array else Placed(0, 0)
+            out.append((file, r["block"], is_array, place.depth, place.commas, lines))
+            lines += r["n"]
+        types = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+        names = [part.split()[0] for part in PLACED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and r["source_file"] != file:
+                yield solved()
+                held = []
+            file = r["source_file"]
+            held.append(r)
+    if held:
+        yield solved()
 
 
 def read_location_lists(spark: SparkSession, path: str) -> DataFrame:
     """``source_file, ordinal, input`` of every list file, in file order.
 
-    A file that parses as a JSON array gives its non-blank text items, untrimmed;
-    any other file gives its trimmed lines without blanks and ``#`` comments.
-    Duplicates stay. Telling the two forms apart needs the file whole; files too
-    large for that are line lists, which are read in splits.
+    A file that is one JSON array gives its non-blank text items, untrimmed; any other
+    file gives its trimmed lines without blanks and ``#`` comments. Duplicates stay. Files
+    of any size are read in splits of lines: each split tells what it does to the JSON
+    around it, and only that meets per file, one row for each split. A line has to fit
+    a row. Runs a job, which stores what was read once.
     """
-    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("source_file")
-    whole = (
-        spark.read.text(path, wholetext=True)
-        .filter(size <= WHOLE_FILE_BYTES)
-        .select(file, "value", strict_json(F.col("value")).alias("_json"))
-        .withColumn("_items", F.try_variant_get("_json", "$", "array<variant>"))
-    )
-    item = F.col("item")
-    items = (
-        whole.filter(F.col("_items").isNotNull())
-        .select("source_file", F.posexplode("_items").alias("ordinal", "item"))
-        .filter(F.schema_of_variant(item) == "STRING")
-        .select(
-            "source_file",
-            F.col("ordinal").cast("bigint").alias("ordinal"),
-            F.try_variant_get(item, "$", "string").alias("input"),
-        )
-        .filter(trimmed(F.col("input")) != "")
-    )
-    lines = whole.filter(F.col("_items").isNull()).select(
-        "source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")
-    )
-    split_lines = spark.read.text(path).filter(size > WHOLE_FILE_BYTES).select(
-        file,
-        F.col("value").alias("line"),
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+        F.make_valid_utf8("value").alias("value"),
     )
-    numbered = ranked(
-        split_lines, ["source_file"], [F.col("block")], [F.col("block"), F.col("at")], "n"
-    ).withColumn("line_no", F.col("n") - 1)
-    return (
-        items.unionByName(_listed_lines("line", "line_no", ["source_file"], lines))
-        .unionByName(_listed_lines("line", "line_no", ["source_file"], numbered))
+    scanned = staged(lines.mapInArrow(_scanned, SCANNED), "scanned-lists")
+    blocks = scanned.filter("kind = 'block'").select("source_file", "block", "n", "text")
+    placed = blocks.repartition("source_file").sortWithinPartitions("source_file", "block").mapInArrow(_placed, PLACED)
+    found = scanned.filter("kind <> 'block'").join(
+        placed.select("source_file", "block", "is_array", F.col("depth").alias("_depth"), "commas", "lines"), ["source_file", "block"]
+    )
+    is_item = F.col("is_array") & (F.col("kind") == "item") & (F.col("depth") + F.col("_depth") == 1)
+    is_line = ~F.col("is_array") & (F.col("kind") == "line")
+    text = trimmed(F.col("text"))
+    ordinal = F.col("n") + F.when(F.col("is_array"), F.col("commas")).otherwise(F.col("lines"))
+    return found.filter((is_item & (text != "")) | (is_line & (text != "") & ~text.startswith("#"))).select(
+        "source_file", ordinal.alias("ordinal"), F.when(F.col("is_array"), F.col("text")).otherwise(text).alias("input")
     )
 
 

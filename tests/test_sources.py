@@ -2,11 +2,15 @@
 
 import json
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from placelens.operators import locations
 from placelens.sinks.writers import commit_run_state
 from placelens.sources import readers
+from placelens.sources.json_blocks import Block, joined, unescaped
 
 SHORT = "https://maps.app.goo.gl/"
 
@@ -44,16 +48,75 @@ def test_lists(spark, tmp_path):
     assert lists(spark, tmp_path) == WANT
 
 
-def test_large_line_lists_are_read_in_splits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(readers, "WHOLE_FILE_BYTES", 10)
-    lines = [f"{SHORT}{i}" if i % 3 else f"# {i}" for i in range(3000)]
-    (tmp_path / "big.txt").write_text("\n".join(lines))
+@pytest.fixture
+def small_splits(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lists_are_read_in_splits(spark, tmp_path, small_splits):
+    """Lines, and arrays that are printed over many lines, with items of all kinds, in splits of 5,000 bytes."""
+    lines = [f"{SHORT}{i}" if i % 3 else f"# {i}" for i in range(3000)]
+    items = [rng_item(i) for i in range(1500)]
+    texts = {
+        "big.txt": "\n".join(lines), "big.json": json.dumps(items, indent=1), "one_line.json": json.dumps(items),
+        "late.json": "\n" * 12000 + json.dumps(items, indent=2, ensure_ascii=False), "cut.json": json.dumps(items, indent=1)[:-1],
+        "more.json": json.dumps(items, indent=1) + "\n" * 9000 + "x", "object.json": json.dumps({"a": items}, indent=1),
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = lists(spark, tmp_path)
+    as_lines = {n: [x for y in t.split("\n") if (x := y.strip()) and not x.startswith("#")] for n, t in texts.items()}
+    wanted = [x for x in items if isinstance(x, str) and x.strip()]
+    assert found == {**as_lines, **{n: wanted for n in ("big.json", "one_line.json", "late.json")}}
+    ordinals = {r.ordinal for r in readers.read_location_lists(spark, str(tmp_path / "big.json")).collect()}
+    assert ordinals == {i for i, x in enumerate(items) if isinstance(x, str) and x.strip()}
+
+
+def rng_item(i):
+    return [f"{SHORT}{i}", i, None, {"a": [f"x{i}", {"b": "]}"}], "c": "d"}, [[], "y"], ' "[q], é\\\n', "", " "][i % 8]
+
+
+def test_a_list_of_any_size_equals_its_small_twins(spark, tmp_path):
+    """50 MB as an array, in one line and in many, and as lines."""
+    items = [f"{SHORT}{i}/{'x' * 2500}" for i in range(20_000)]
+    (tmp_path / "lines.txt").write_text("\n".join(items))
+    (tmp_path / "array.json").write_text(json.dumps(items))
+    (tmp_path / "pretty.json").write_text(json.dumps(items, indent=2))
+    rows = readers.read_location_lists(spark, str(tmp_path)).groupBy("source_file").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("ordinal", "input").cast("decimal(38)")).alias("sum")
+    ).collect()
+    small = spark.createDataFrame(enumerate(items), "ordinal bigint, input string")
+    want = small.agg(F.sum(F.xxhash64("ordinal", "input").cast("decimal(38)"))).first()[0]
+    assert {(r.n, r.sum) for r in rows} == {(20_000, want)} and len(rows) == 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.integers() | st.text(alphabet='a"\\]}{[,:é\n', max_size=4), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text("kq", max_size=2), x, max_size=3), max_leaves=12),
+       st.sampled_from([None, 0, 1]), st.lists(st.integers(0, 40), max_size=3), st.integers(0, 200), st.sampled_from(["", ",", "]", "[", "}", '"', ":", "1", "\n"]), st.booleans())
+def test_blocks_of_json_against_a_parser(doc, indent, cuts, at, mark, spoil):
+    text = json.dumps(doc, indent=indent)
+    if spoil:
+        text = text[:at] + mark + text[at + 1 :]
     try:
-        assert lists(spark, tmp_path) == {"big.txt": [x for x in lines if not x.startswith("#")]}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        doc = json.loads(text)
+    except ValueError:
+        doc = None
+    lines = text.split("\n")
+    bounds = sorted({0, len(lines), *(c for c in cuts if c < len(lines))})
+    blocks, found = [], []
+    for a, b in zip(bounds, bounds[1:]):
+        blocks.append(Block(first=a == 0))
+        found.append([])
+        for line in lines[a:b]:
+            blocks[-1].read(line, found[-1])
+    is_array, places = joined([b.summary() for b in blocks])
+    assert is_array == isinstance(doc, list)
+    if is_array:
+        got = [(p.commas + n, unescaped(t)) for p, texts in zip(places, found) for depth, n, t in texts if depth + p.depth == 1]
+        assert got == [(i, x) for i, x in enumerate(doc) if isinstance(x, str)]
 
 
 def test_valid_and_rejected_split_the_inputs(spark, tmp_path):

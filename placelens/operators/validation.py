@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
 from placelens.functions.text import strict_json
+from placelens.session import last_of_repeated_keys
 
 
 class Rule(NamedTuple):
@@ -154,7 +155,8 @@ def check_documents(documents: DataFrame, text: str = "value") -> DataFrame:
     """Adds ``name``, ``review_count`` and ``issues`` to raw JSON documents."""
     raw, doc = F.col(text), F.col("_doc")
     business, metadata = _get(doc, "business", "variant"), _get(doc, "metadata", "variant")
-    parsed = documents.withColumn("_doc", strict_json(raw))
+    with last_of_repeated_keys(documents.sparkSession):
+        parsed = documents.withColumn("_doc", strict_json(raw))
     looked_up = parsed.withColumns(
         {
             "_is_object": F.substring(F.ltrim(F.regexp_replace(raw, r"\A\s+", "")), 1, 1) == "{",

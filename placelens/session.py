@@ -2,11 +2,13 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -27,6 +29,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "plac
     return spark
 
 
+@contextmanager
+def last_of_repeated_keys(spark: SparkSession):
+    """JSON parsed to VARIANT by plans built inside takes the last value of a repeated key, as JSON parsers do.
+
+    The setting is read when an expression is resolved, so it holds for these plans
+    whenever they run, and for no others.
+    """
+    before = spark.conf.get(REPEATED_KEYS)
+    spark.conf.set(REPEATED_KEYS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REPEATED_KEYS, before)
+
+
 @cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="placelens-")

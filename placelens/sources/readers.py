@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelens import schemas
 from placelens.functions.text import strict_json, trimmed
-from placelens.session import staged
+from placelens.session import last_of_repeated_keys, staged
 from placelens.sources.json_blocks import Block, Placed, joined, unescaped
 
 ROWS_PER_OUTPUT_BATCH = 1000
@@ -107,10 +107,22 @@ def read_location_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """Documents as text, for validation: ``source_file, value``."""
-    return spark.read.text(path, wholetext=one_per_file).select(
-        F.col("_metadata.file_path").alias("source_file"), "value"
+    """Documents as text, for validation: ``source_file, value``.
+
+    A file that cannot be read gives one row with a null value, which validation reports
+    as unreadable, and the others go on. Bytes that are no UTF-8 become U+FFFD. Which
+    files gave nothing is found by a second pass over their names, not their texts. Files
+    of no bytes are left out: Spark's listing does not show them.
+    """
+    file = F.col("_metadata.file_path").alias("source_file")
+    rows = (
+        spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        .text(path, wholetext=one_per_file)
+        .select(file, F.make_valid_utf8("value").alias("value"))
     )
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"))
+    silent = listed.join(rows.select("source_file").distinct(), "source_file", "left_anti")
+    return rows.unionByName(silent.withColumn("value", F.lit(None).cast("string")))
 
 
 def read_review_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
@@ -153,9 +165,10 @@ def state_inputs(documents: DataFrame, *keys: str, text: str = "value") -> DataF
     items = F.try_variant_get(strict_json(F.col(text)), "$.completed", "array<variant>")
     well_formed = F.forall("_items", lambda x: F.schema_of_variant(x) == "STRING")
     inputs = F.transform("_items", lambda x: F.try_variant_get(x, "$", "string"))
+    with last_of_repeated_keys(documents.sparkSession):
+        states = documents.select(*keys, items.alias("_items"))
     return (
-        documents.select(*keys, items.alias("_items"))
-        .filter(F.coalesce(well_formed, F.lit(False)))
+        states.filter(F.coalesce(well_formed, F.lit(False)))
         .select(*keys, F.explode(inputs).alias("input"))
     )
 

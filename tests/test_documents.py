@@ -221,3 +221,31 @@ def test_validation(spark):
     summary = {r.i: r for r in validation.document_summary(df, "i").collect()}
     assert not summary[0].valid and summary[at - 1].valid and summary[at - 1].name == "Demo"
     assert summary[at - 1].review_count == 2 and summary[at + 4].issue_count == 3
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    good = json.dumps(valid_document())
+    inner = good.replace('"name": "Demo"', '"name": 5, "name": "Demo"').replace('"rating": 5,', '"rating": "x", "rating": 5,')
+    outer = '{"reviews": 3, "business": null, ' + good[1:]
+    worse = good[:-1] + ', "reviews": 3}'
+    df = spark.createDataFrame(enumerate([inner, outer, worse]), "i int, value string")
+    assert [(r.i, r.path, r.code) for r in validation.validate_documents(df, "i").collect()] == [(2, "reviews", "type")]
+    assert {r.i: r.name for r in validation.document_summary(df, "i").collect()} == {0: "Demo", 1: "Demo", 2: "Demo"}
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    states = spark.createDataFrame([('{"completed": 1, "completed": ["a"]}',), ('{"completed": ["a"], "completed": 1}',)], "value string")
+    assert [r.input for r in readers.state_inputs(states).collect()] == ["a"]
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    from placelens.plans.jobs import validate_path
+
+    good = json.dumps(valid_document())
+    (tmp_path / "good.json").write_text(good)
+    (tmp_path / "broken.json.gz").write_bytes(b"this is not what its name says")
+    (tmp_path / "bytes.json").write_bytes(good.encode().replace(b"Demo", b"\xff\xfeDemo"))
+    issues, summary = validate_path(spark, str(tmp_path))
+    assert {(r.source_file.rsplit("/")[-1], r.code) for r in issues.collect()} == {("broken.json.gz", "unreadable")}
+    rows = {r.source_file.rsplit("/")[-1]: (r.valid, r.name) for r in summary.collect()}
+    assert rows == {"good.json": (True, "Demo"), "bytes.json": (True, "\ufffd\ufffdDemo"), "broken.json.gz": (False, None)}
+    lines, _ = validate_path(spark, str(tmp_path), one_per_file=False)
+    assert {(r.source_file.rsplit("/")[-1], r.code) for r in lines.collect()} == {("broken.json.gz", "unreadable")}

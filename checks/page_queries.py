@@ -6,7 +6,7 @@ from checks import bindings as B
 from checks.registry import query
 from placelens.operators import captures as C
 from placelens.operators import quality
-from placelens.plans.jobs import collect_places, run_batch
+from placelens.plans.jobs import batch_run, collect_places
 from placelens.session import scratch_path, staged
 from placelens.sources import readers
 
@@ -189,11 +189,11 @@ def loading_flag(t):
     return C.read_pages(captures(t), KEYS, fields=["loading"]).select("place_key", "round", "loading")
 
 
-def _kept(max_reviews):
+def _kept(max_reviews, also=""):
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_key ORDER BY round, pos) AS ordinal FROM (
       SELECT s.*, row_number() OVER (PARTITION BY s.place_key, review_id ORDER BY s.round, pos) AS copy
       FROM shown s JOIN info i ON i.place_key = s.place_key AND i.round = s.round
-      WHERE page_state = 'ok' AND NOT wrong_place AND rating <= 5) WHERE copy = 1) WHERE ordinal <= {max_reviews}"""
+      WHERE page_state = 'ok' AND NOT wrong_place AND rating <= 5 {also}) WHERE copy = 1) WHERE ordinal <= {max_reviews}"""
 
 
 PLACES = """
@@ -215,10 +215,13 @@ def _place_rows(docs):
     )
 
 
-@query("collect_places", B.with_views(PLACES, **SHOWN_VIEWS, info=PAGE_INFO, kept=_kept(2)))
+SORTED = PAGE_INFO + " WHERE conv_id % 2 = 0"
+
+
+@query("collect_places", B.with_views(PLACES, **SHOWN_VIEWS, info=SORTED, kept=_kept(2)))
 def collect_places_query(t):
-    """Captured pages to documents with at most two reviews each."""
-    found = collect_places(staged(captures(t), "captures"), t.sql(B.REQUESTS), "newest", 2, check_sort=False)
+    """Captured pages that announce the order to documents with at most two reviews each."""
+    found = collect_places(staged(captures(t), "captures"), t.sql(B.REQUESTS), "newest", 2)
     return _place_rows(found.documents("newest"))
 
 
@@ -235,26 +238,84 @@ BATCH_INPUT = """CASE conv_id % 4 WHEN 0 THEN 'https://www.google.com/maps?ftid=
 BATCH_LIST = f"SELECT DISTINCT conv_id, {BATCH_INPUT} AS input FROM conversations"
 
 
+# What a batch makes of each input: why it failed, or nothing.
+BATCH_OUTCOME = """
+SELECT l.conv_id, input, any_value(i.name) AS name, CASE WHEN starts_with(input, 'nowhere') THEN 'INVALID_LOCATION'
+ WHEN any_value(i.name) IS NULL THEN 'NO_CAPTURE' WHEN any_value(page_state) <> 'ok' THEN any_value(page_state)
+ WHEN any_value(contains(input, 'ftid=') AND wrong_place) THEN 'NAV_VERIFY' WHEN NOT any_value(sort_verified) THEN 'SORT_VERIFY' END AS reason
+FROM list l LEFT JOIN info i ON i.conv_id = l.conv_id GROUP BY l.conv_id, input
+"""
+BATCH_VIEWS = {
+    **SHOWN_VIEWS, "info": PAGE_INFO, "list": BATCH_LIST.replace("STRING", "VARCHAR"), "outcome": BATCH_OUTCOME,
+    "kept": _kept(1000000, "AND sort_verified"),
+}
+_BATCHES = {}
+
+
+def _batches(t):
+    """First run over a part of the list, as CSV; then the whole list as JSON, resumed. Done once for all queries of a session."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _BATCHES:
+        out, lists = scratch_path(t.spark, "batch"), scratch_path(t.spark, "list")
+        wanted = t.sql(BATCH_LIST)
+        stored = staged(
+            captures(t).withColumn("conv_id", F.col("place_key").cast("bigint"))
+            .withColumn("place_key", F.expr(BATCH_INPUT)).drop("conv_id"), "captures",
+        )
+        wanted.filter(F.col("input").contains("ftid=")).select("input").write.text(f"{lists}-1")
+        wanted.select("input").write.text(f"{lists}-2")
+        batch_run(t.spark, f"{lists}-1", stored, out, "csv", resume=True, run_id="r1", batch_id=1)
+        _BATCHES[key] = out, batch_run(t.spark, f"{lists}-2", stored, out, "json", resume=True, run_id="r2", batch_id=2)
+    return _BATCHES[key]
+
+
 @query(
     "run_batch",
     B.with_views(
-        """SELECT 'r2' AS run_id, CAST(count_if(ok) AS BIGINT) AS succeeded, CAST(count_if(NOT ok) AS BIGINT) AS failed, count(*) AS total FROM (
-        SELECT l.conv_id, input, max(page_state = 'ok' AND NOT (contains(input, 'ftid=') AND wrong_place)) IS TRUE AS ok
-        FROM list l LEFT JOIN info i ON i.conv_id = l.conv_id WHERE NOT starts_with(input, 'nowhere') GROUP BY ALL)
-        WHERE NOT (ok AND contains(input, 'ftid='))""",
-        card_src=B.CARD_SRC, info=PAGE_INFO, list=BATCH_LIST.replace("STRING", "VARCHAR"),
+        """SELECT 'r2' AS run_id, CAST(count_if(reason IS NULL) AS BIGINT) AS succeeded, CAST(count_if(reason IS NOT NULL) AS BIGINT) AS failed,
+        count(*) AS total, CAST(1 AS BIGINT) AS exit_code FROM outcome WHERE reason IS DISTINCT FROM 'INVALID_LOCATION' AND NOT (reason IS NULL AND contains(input, 'ftid='))""",
+        **BATCH_VIEWS,
     ),
 )
 def run_batch_query(t):
-    """First run over a part of the list; then the whole list, resumed."""
-    out, lists = scratch_path(t.spark, "batch"), scratch_path(t.spark, "list")
-    wanted = t.sql(BATCH_LIST)
-    stored = staged(
-        captures(t).withColumn("conv_id", F.col("place_key").cast("bigint"))
-        .withColumn("place_key", F.expr(BATCH_INPUT)).drop("conv_id"), "captures",
+    return _batches(t)[1].summary.select("run_id", "succeeded", "failed", "total", "exit_code")
+
+
+@query("run_batch_failures", B.with_views("SELECT input, reason FROM outcome WHERE reason IS NOT NULL", **BATCH_VIEWS))
+def run_batch_failures(t):
+    """Inputs without output after both runs, and why."""
+    return _batches(t)[1].failures.select("input", "reason")
+
+
+@query(
+    "run_batch_state",
+    B.with_views(
+        """SELECT input, CASE WHEN contains(input, 'ftid=') THEN 1 ELSE 2 END AS batch_id,
+        CASE WHEN contains(input, 'ftid=') THEN 'csv' ELSE 'json' END AS format, CAST(0 AS BIGINT) AS run_no, true AS named FROM outcome WHERE reason IS NULL""",
+        **BATCH_VIEWS,
+    ),
+)
+def run_batch_state(t):
+    """What both runs committed; each row names the file of its input."""
+    state = readers.read_run_state(t.spark, f"{_batches(t)[0]}/_state")
+    return state.select("input", F.col("batch_id").cast("int").alias("batch_id"), "format", "run_no", F.col("file_stem").isNotNull().alias("named"))
+
+
+@query(
+    "run_batch_files",
+    B.with_views(
+        """SELECT name, count(*) AS files, count(*) AS stems, CAST(coalesce(sum(n), 0) AS BIGINT) AS reviews, true AS by_slug FROM outcome LEFT JOIN
+        (SELECT CAST(place_key AS BIGINT) AS conv_id, count(*) AS n FROM kept GROUP BY ALL) USING (conv_id)
+        WHERE reason IS NULL AND NOT contains(input, 'ftid=') GROUP BY ALL""",
+        **BATCH_VIEWS,
+    ),
+)
+def run_batch_files(t):
+    """The second run's files, read back: one for each location, named by its slug and a number."""
+    docs = readers.read_review_documents(t.spark, f"{_batches(t)[0]}/batch-2")
+    slug = F.regexp_replace(F.lower("business.name"), " ", "-")
+    return docs.groupBy("business.name").agg(
+        F.count("*").alias("files"), F.count_distinct("file_stem").alias("stems"),
+        F.sum(F.size("reviews")).cast("bigint").alias("reviews"),
+        F.bool_and(F.rlike("file_stem", F.concat(F.lit("^"), slug, F.lit("(-[0-9]+)?$")))).alias("by_slug"),
     )
-    wanted.filter(F.col("input").contains("ftid=")).select("input").write.text(f"{lists}-1")
-    wanted.select("input").write.text(f"{lists}-2")
-    run_batch(t.spark, f"{lists}-1", stored, out, "csv", resume=True, run_id="r1", batch_id=1, check_sort=False)
-    summary = run_batch(t.spark, f"{lists}-2", stored, out, "json", resume=True, run_id="r2", batch_id=2, check_sort=False)
-    return summary.select("run_id", "succeeded", "failed", "total")

@@ -17,6 +17,7 @@ from placelens.sinks.writers import commit_run_state, write_files
 from placelens.sources.readers import read_location_lists, read_raw_documents, read_run_state
 
 PLACE = "place_key"
+SENT_KEYS = 500_000  # location keys sent to every task, some tens of MB; results are the same beyond
 PAGE_KEYS = (PLACE, "round", "pass_no", "resolved_url", "captured_ms")
 PAGE_FIELDS = (
     "name", "address", "rating_text", "tab_text", "badge_text", "body_snippet",
@@ -74,17 +75,20 @@ def collect_places(
 ) -> Collected:
     """Captured pages of any number of locations to headers and reviews.
 
-    Captures meet their requests before any HTML is read, so only wanted pages are.
-    The judged pages are staged without their HTML; later steps read only the columns
-    they need. The stored table also forgets the join's partitioning by location,
-    which would else let a hot location stay in one task. Pages in a wrong state or
-    of a wrong place are returned as ``rejected``, and unless ``check_sort`` is off
-    also pages that do not announce the wanted order.
+    HTML is read where it lies: pages become rows in a pass without a shuffle, and only
+    those rows meet their requests. Where the requested keys are counted to be few, they
+    are sent to all tasks first, so that no other page is read. The judged pages are
+    stored; later steps read only the columns they need. The stored table also forgets
+    the join's partitioning by location, which would else let a hot location stay in one
+    task. Pages in a wrong state or of a wrong place are returned as ``rejected``, and
+    unless ``check_sort`` is off also pages that do not announce the wanted order.
     """
-    asked = verify_identity(captures, requests)
-    found = [c for c in asked.columns if c not in captures.columns]
-    read = C.read_pages(asked, (*PAGE_KEYS, *found), selectors, PAGE_FIELDS)
-    states = C.sort_verified(C.page_state(read), sort_order).drop("body_text", "sort_text")
+    wanted = requests.select(PLACE).distinct()
+    if wanted.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        captures = captures.join(F.broadcast(wanted), PLACE, "left_semi")
+    read = C.read_pages(captures, PAGE_KEYS, selectors, PAGE_FIELDS)
+    asked = verify_identity(read, requests)
+    states = C.sort_verified(C.page_state(asked), sort_order).drop("body_text", "sort_text")
     reason = (
         F.when(F.col("page_state") != "ok", F.col("page_state"))
         .when(~F.col("verified"), F.col("error_kind"))

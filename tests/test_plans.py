@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from placelens import schemas
 from placelens.operators import captures, collect, locations, quality, runs, validation
+from placelens import session
 from placelens.operators.reviews import normalise_reviews
+from placelens.plans import jobs
 
 
 def plan(df):
@@ -101,3 +103,39 @@ def test_resume_leaves_the_join_to_the_optimizer(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan(locations.pending_locations(inputs, inputs))
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("cap", [None, 3])
+@pytest.mark.parametrize("sent_keys", [0, 1000])
+def test_collecting_places_never_shuffles_html(spark, tmp_path, monkeypatch, no_broadcasts, cap, sent_keys):
+    """All plans that the job stores, and its results: no exchange carries HTML, and only stored reviews are ranked."""
+    row = ("p", 0, 0, "u", "<h1>x</h1>", 1)
+    spark.createDataFrame([row], schemas.CAPTURE).write.parquet(str(tmp_path / "c"))
+    asked = spark.createDataFrame([("p", None)], "place_key string, place_id string")
+    plans = {}
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return session.staged(df, label)
+
+    monkeypatch.setattr(jobs, "staged", spy)
+    monkeypatch.setattr(jobs, "SENT_KEYS", sent_keys)
+    found = jobs.collect_places(spark.read.parquet(str(tmp_path / "c")), asked, "newest", cap, check_sort=False)
+    assert {"pages", "first-seen", "rounds", "kept-reviews"} <= set(plans)
+    spy(found.headers, "headers")
+    spy(found.lines("newest", "json"), "lines")
+    read = [t for t in plans.values() if "html:string" in t]
+    assert len(read) == 1 and "MapInArrow" in read[0] and ("LeftSemi" in read[0]) == (sent_keys > 0)
+    for text in plans.values():
+        for node in re.findall(r"\(\d+\) Exchange\n(?:.+\n)+", text):
+            assert "html" not in node
+    # What is shuffled by location alone has one row per location, block or round; reviews are dealt by more.
+    ranks = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\(place_key#\d+, \d+\)", plans["lines"])
+    assert all("author" not in columns for columns in ranks)

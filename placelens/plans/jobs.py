@@ -13,7 +13,7 @@ from placelens.operators.locations import classify_locations, pending_locations,
 from placelens.operators.ordered import block_of, ranked
 from placelens.operators.reviews import normalise_reviews
 from placelens.session import staged
-from placelens.sinks.writers import commit_run_state, write_files
+from placelens.sinks.writers import claim_batch, commit_run_state, write_files
 from placelens.sources.readers import read_location_lists, read_raw_documents, read_run_state
 
 PLACE = "place_key"
@@ -138,7 +138,8 @@ def batch_run(
     it resumed, did not complete are worked on; without it a new run begins, to
     which later resumed runs belong. An input listed twice gives two files.
 
-    Files go to ``batch-<batch_id>``; by default the id is the next free one. No
+    Files go to ``batch-<batch_id>``; by default the id is the next one that no run has
+    claimed, so runs that start together keep apart. No
     committed file or state row is ever removed: names avoid all committed ones of
     the same format, and state only grows. State is written after the output, so a
     crash never marks unfinished work; files that the state does not name are left
@@ -156,7 +157,7 @@ def batch_run(
     state = read_run_state(spark, state_path).withColumn("run_no", F.coalesce("run_no", F.lit(0)))
     last = state.agg(F.max("batch_id").alias("batch"), F.max("run_no").alias("run")).first()
     if batch_id is None:
-        batch_id = 0 if last.batch is None else last.batch + 1
+        batch_id = claim_batch(spark, state_path, 0 if last.batch is None else last.batch + 1)
     run_no = 0 if last.run is None else last.run + (0 if resume else 1)
     done = state.filter(F.lit(resume) & (F.col("run_no") == run_no))
     pending = staged(pending_locations(valid, done), "pending")

@@ -1,6 +1,7 @@
 """Writers: JSON documents, CSV, one output per location, and run state."""
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens import fixed_values as V
@@ -87,6 +88,25 @@ def write_files(
     )
 
 
+def claim_batch(spark: SparkSession, path: str, first: int) -> int:
+    """The next batch id from ``first`` on that no other run has claimed: its mark is created only if it is absent.
+
+    So runs that start together get ids, and so folders, of their own. As safe as the
+    store's create without overwriting.
+    """
+    jvm, batch_id = spark._jvm, first
+    while True:
+        mark = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{batch_id}")
+        store = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            if store.createNewFile(mark):
+                return batch_id
+        except Py4JJavaError as e:  # another run created it between the look and the write
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+        batch_id += 1
+
+
 def commit_run_state(
     completed: DataFrame, path: str, batch_id: int = 0, mode: str = "overwrite"
 ) -> None:

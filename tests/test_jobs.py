@@ -121,3 +121,19 @@ def test_why_inputs_failed(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("nonsense")
     empty = run_batch(spark, str(tmp_path / "bad.txt"), captures(spark), str(tmp_path / "out")).collect()[0]
     assert (empty.total, empty.exit_code) == (0, 1)
+
+
+def test_runs_that_start_together_keep_both_outputs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    (tmp_path / "list.txt").write_text(f"{SHORT}a")
+    stored, out = captures(spark), tmp_path / "out"
+
+    def run(_):
+        return batch_run(spark, str(tmp_path / "list.txt"), stored, str(out), check_sort=False).summary.first().succeeded
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, range(2))) == [1, 1]
+    assert sorted(p.name for p in out.glob("batch-*")) == ["batch-0", "batch-1"]
+    assert len(list(out.rglob("part-*.txt"))) == 2
+    assert sorted(r.batch_id for r in read_run_state(spark, f"{out}/_state").collect()) == [0, 1]

@@ -83,10 +83,11 @@ class LocationCollector(StatefulProcessor):
         for frame in rows:
             for row in frame.itertuples(index=False):
                 here = (int(row.round), int(row.pass_no))
-                if here[1] > 0 and not self.second_looks:
-                    raise ValueError("a second pass needs second_looks=True")
                 if at.done or here < (at.round, at.look):
                     continue
+                if here[1] > int(self.second_looks):  # a look that is never taken: this page goes, the stream stays
+                    out.append((*key, "rejected", here[0], None, None, None, "unexpected_pass"))
+                    continue
                 if here != (at.round, at.look):
                     entries = [(r["review_id"], r["body"]) for r in row.reviews]
                     self.waiting.updateValue(here, (bool(row.ok), bool(row.loading), entries))

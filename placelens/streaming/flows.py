@@ -153,7 +153,8 @@ def stream_collect(
     with that. No other second page is taken; without the option one is an error.
 
     Accepted reviews come out as ``kind = review`` with their ordinal and ``body``;
-    the end of a location as ``kind = stop`` with the reason. ``run_key`` names a
+    the end of a location as ``kind = stop`` with the reason; a page of a pass that is not
+    taken as ``kind = rejected``, and the others go on. ``run_key`` names a
     column: each of its values is a run of its own. State is one small record per
     location and one key per id. Ids go when the location ends; the record stays, to
     pass over late pages, until ``forget_ms`` later. Needs the RocksDB state store.

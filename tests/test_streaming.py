@@ -187,6 +187,21 @@ def test_the_record_goes_after_its_time():
     assert list(events["stop_reason"]) == ["timeout"] and timers[2:] == [300, 350] and not one.waiting.exists()
 
 
+@pytest.mark.parametrize("second_looks", [False, True])
+def test_a_page_of_an_unexpected_pass_is_rejected(second_looks):
+    import pandas as pd
+
+    from placelens.streaming.collector import EVENT, LocationCollector
+
+    names = ["place_key", *[f.name for f in EVENT]]
+    one = LocationCollector(names, None, 0, 6, 3, second_looks, None, None)
+    one.progress, one.seen, one.waiting = Values(), Values(), Values()
+    pages = [(0, 1 + second_looks, "x"), (0, 0, "a"), (1, 2, "y"), (1, 0, "b")]
+    rows = [{"round": r, "loading": False, "reviews": [{"review_id": i, "body": "{}"}], "pass_no": k, "ok": True} for r, k, i in pages]
+    events = pd.concat(one.handleInputRows(("p",), iter([pd.DataFrame(rows)]), Clock(10)))
+    assert [(e.kind, e.review_id) for e in events.itertuples()] == [("rejected", None), ("review", "a"), ("rejected", None), ("review", "b")]
+
+
 def test_stream_pages_check_place_and_order(spark):
     from placelens import schemas
 

@@ -15,7 +15,7 @@ from placelens.llm.toxicity import fit_toxicity, score_toxicity
 
 @query("op3_ngram_jaccard")
 def ngram_jaccard(spark, sf_dir):
-    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85, count_links=False)
     return found.withColumnRenamed("id", "doc_id")
 
 

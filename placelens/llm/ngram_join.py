@@ -39,6 +39,7 @@ COUNT_PASSES = 4
 BLOCK_SETS, BLOCKS, MOST_SETS = 256, 16, 4096
 BLOCK_GRAMS = 2_000_000
 COLUMNS = 1024
+MOST_HALVINGS = 32  # cuts end long before, when each n-gram stands alone
 
 
 class Rule(NamedTuple):
@@ -64,10 +65,9 @@ def _class_bounds(size: int) -> list[int]:
 
 
 def _fragments(rule: Rule, bounds: list[int], c: int) -> tuple[int, int]:
-    """(fragments of a size class, empty ones that a set may have without listing them)."""
+    """(fragments of a size class, n-grams in which two linking sets of it can differ)."""
     k = rule.most_different(bounds[c + 1] - 1)
-    spare = 2 if k >= 8 else 0
-    return k + 1 + spare, spare
+    return k + 1 + (2 if k >= 8 else 0), k
 
 
 def _cuts(ordered: np.ndarray, pieces: int) -> np.ndarray:
@@ -116,6 +116,19 @@ def _half(node: bytes | None) -> int | None:
     return int.from_bytes(node[:8], "little", signed=True) if node else None
 
 
+def _noded(rule: Rule):
+    """(node, half, text) of every text with words."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(node, _half(node), at) for _, at, _, node in _each_set(iter([batch]), rule.words) if node]
+            nodes, halves, rows = zip(*found) if found else ((), (), ())
+            texts = batch.column("text").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(halves, pa.int64()), texts], ["node", "half", "text"])
+
+    return run
+
+
 def _members(rule: Rule):
     def run(batches):
         for batch in batches:
@@ -133,22 +146,31 @@ def _members(rule: Rule):
 
 
 def _signatures(rule: Rule):
-    """(signature of a segment, first half of the node) for each size class a set can meet partners in."""
+    """(signature of a segment, first half of the node) for each size class a set can meet partners in.
+
+    Empty segments tell nothing, as many sets share them, and have no signature. A set
+    with no more than k others, as few n-grams leave, is cut once more in halves, and
+    again, until more than k segments hold n-grams; it lists those of all cuts. Of two
+    linking sets take the finest cut that both list: one of them fills more than k
+    segments there, no more than k differ, so one that holds n-grams is equal in both.
+    """
 
     def rows(own: np.ndarray, bounds: list[int]) -> Iterator[np.ndarray]:
         size, hashed = len(own), mix(own)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed)])
         home, last = np.searchsorted(bounds, [size, rule.largest_partner(size)], "right") - 1
         for c in range(int(home), int(last) + 1):
-            pieces, spare = _fragments(rule, bounds, c)
-            if rule.most_different(bounds[c + 1] - 1) == 0:
+            pieces, k = _fragments(rule, bounds, c)
+            if k == 0:
                 continue  # only equal sets link here, and those are one node
-            cuts = _cuts(own, pieces)
-            begin, end = cuts[:-1], cuts[1:]
-            empty = begin == end
-            label = mix(np.arange(pieces, dtype=np.uint64) + np.uint64(c << 40))
-            signature = mix((sums[end] - sums[begin]) ^ label)
-            yield signature if empty.sum() > spare else signature[~empty]
+            for level in range(MOST_HALVINGS):
+                cuts = _cuts(own, pieces << level)
+                begin, end = cuts[:-1], cuts[1:]
+                filled = np.flatnonzero(begin < end)
+                label = mix(filled.astype(np.uint64) + np.uint64((c << 40) + (level << 34)))
+                yield mix((sums[end[filled]] - sums[begin[filled]]) ^ label)
+                if len(filled) > min(k, size - 1):
+                    break
 
     def run(batches):
         bounds, seen = _class_bounds(1000), set()
@@ -365,8 +387,8 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     all links of each node are counted then. Ids may be null or repeat: every row is a
     member of its own.
     """
-    if not 0 < percent <= 100 or words < 1:
-        raise ValueError("percent must lie in (0, 100] and words be at least 1")
+    if not 50 <= percent <= 100 or words < 1:
+        raise ValueError("percent must lie in [50, 100] and words be at least 1")
     rule = Rule(words, percent)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = staged(texts.mapInArrow(_members(rule), texts.select("id").schema.add("node", "binary").add("half", "long").add("n", "long")), "set-members")
@@ -377,13 +399,12 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     buckets = staged(ordered.mapInArrow(repeated_runs, "sig long, half long"), "set-buckets")
 
     wanted = buckets.select("half").distinct()
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("half").alias("half"))
-    nodes = nodes.join(wanted, "half", "left_semi")
-    chosen = nodes.groupBy("id").agg(F.collect_set("half").alias("halves"))
-    # What is chosen grows with the input, so it is never broadcast, however little it is here.
-    picked = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["id"])).select("text", F.explode("halves").alias("half"))
+    # Each set is taken once, from any row that has it: copies go before they move.
+    texts_of = texts.select("text").mapInArrow(_noded(rule), "node binary, half long, text string").dropDuplicates(["node"])
+    # What is wanted grows with the input, so it is never broadcast, however little it is here.
+    picked = texts_of.join(wanted.hint("merge"), "half", "left_semi").select("text", "half")
     cut = picked.mapInArrow(_parts(rule), "node binary, half long, n long, level int, parity array<long>, parity_above array<long>, pieces int, piece int, grams array<long>")
-    parts = staged(cut, "set-parts")  # rows that repeat id and text are there more than once
+    parts = staged(cut, "set-parts")
     facts = parts.where("parity IS NOT NULL").select("node", "half", "n", "level", "parity", "parity_above")
     facts = staged(facts.dropDuplicates(["node"]), "set-facts")
     parts = parts.select("node", "pieces", "piece", "grams")

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from placelens.llm.storage import staged
@@ -45,22 +46,26 @@ def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown: Sequenc
     ``grown`` are the weights after a change of the shard count; without it
     ``grown_shard`` is null. Slots are counted in ``blocks`` runs of the key order,
     so no task holds a whole shard; one row per shard and run meets to add up.
-    Equal keys share a shard; their slots follow the other columns' order. A null
-    key comes first. An empty table gives an empty result. Columns of the input
+    Keys may be of any type that has an order and a text. Equal keys share a shard;
+    their slots follow the other columns' order. A null key comes first. An empty table gives an empty result. Columns of the input
     keep their values; the three new names replace columns of the same name.
     """
     df = df.drop("shard", "slot", "grown_shard")
     others = [F.col(f"`{c}`") for c in df.columns if c != key]
     out = df.withColumn("shard", rendezvous(F.col(key), weights))
     out = out.withColumn("grown_shard", rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int"))
-    cuts = df.select(F.percentile_approx(F.col(key), [i / blocks for i in range(1, blocks)], 100 * blocks).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []))
-    run = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    out = staged(out.withColumn("_run", F.coalesce(run, F.lit(0))), "shards")
-    counts = out.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("shard", "_run", F.coalesce("_before", F.lit(0)).alias("_before"))
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        cuts = df.select(F.percentile_approx(F.col(key), [i / blocks for i in range(1, blocks)], 100 * blocks).alias("cuts")).first()["cuts"]
+        cuts = sorted(set(cuts or []))
+        run = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+        run = F.coalesce(run, F.lit(0))
+    else:  # keys that have no quantiles: ranges of their order, from Spark's own sample
+        out, run = out.repartitionByRange(blocks, F.col(key).asc_nulls_first()), F.spark_partition_id()
+    out = staged(out.withColumn("__llm_run", run), "shards")
+    counts = out.groupBy("shard", "__llm_run").agg(F.count("*").alias("__llm_n"))
+    earlier = Window.partitionBy("shard").orderBy("__llm_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("shard", "__llm_run", F.coalesce(F.sum("__llm_n").over(earlier), F.lit(0)).alias("__llm_before"))
     order = [F.col(key).asc_nulls_first(), F.xxhash64(*others) if others else F.lit(0)]
-    placed = out.withColumn("_at", F.row_number().over(Window.partitionBy("shard", "_run").orderBy(*order)) - 1)
-    joined = placed.join(before, ["shard", "_run"])
-    return joined.select(*df.columns, "shard", (F.col("_at") + F.col("_before")).cast("long").alias("slot"), "grown_shard")
+    placed = out.withColumn("__llm_at", F.row_number().over(Window.partitionBy("shard", "__llm_run").orderBy(*order)) - 1)
+    joined = placed.join(before, ["shard", "__llm_run"])
+    return joined.select(*df.columns, "shard", (F.col("__llm_at") + F.col("__llm_before")).cast("long").alias("slot"), "grown_shard")

@@ -10,8 +10,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+SUMMED_BYTES = 32
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +84,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, letters: bool =
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # Sums modulo a power of two meet on long words of a regular build, so those are hashed byte by byte.
+    for k in np.flatnonzero(ends - starts > SUMMED_BYTES):
+        word = data[starts[k] : ends[k]].tobytes()
+        hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
     return Words(hashes, starts + begin, ends + begin, np.searchsorted(starts, offsets - begin), offsets)
 
 

@@ -153,6 +153,50 @@ def test_near_duplicates(spark, n, percent):
     assert got == {i: (len(s), g) for i, s, g in zip(ids, sets, _groups(ids, sets, percent))}
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_regular_build_differ(spark):
+    """Two words of 1,024 letters whose sums modulo a power of two are equal."""
+    words = [thue_morse(1024, x) for x in ("ab", "ba")]
+    assert len({word_hash(w) for w in words}) == 2
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(i, f"{w} {text}") for i, w in enumerate(words)] + [(2, words[0]), (3, words[1]), (4, "A" * 40), (5, "a" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component_id for r in near_duplicates(df, 4, 100).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    kept = {r.doc_id: r.n_removed for r in dedup_passages(df.where("doc_id < 2")).collect()}
+    assert kept == {0: 0, 1: 20}
+    one = spark.createDataFrame([(0, " ".join([words[0], *text.split()[:19]])), (1, " ".join([words[1], *text.split()[:19]]))], "doc_id long, text string")
+    assert {r.n_removed for r in dedup_passages(one).collect()} == {0}
+
+
+@pytest.mark.parametrize("length", [12, 30, 44])
+def test_unrelated_texts_are_hardly_compared(spark, length, monkeypatch):
+    """Candidates of short random texts don't grow with the square of their number."""
+    from placelens.llm import ngram_join
+
+    rng = random.Random(length)
+    counted = []
+    monkeypatch.setattr(ngram_join, "_pairs", lambda rows, rule, pairs=ngram_join._pairs: counted.append(rows.count()) or pairs(rows, rule))
+    for size in (1500, 3000):
+        texts = [(k, " ".join(str(rng.randrange(10**9)) for _ in range(length))) for k in range(size)]
+        assert all(r.id == r.component_id for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1, 80, count_links=False).collect())
+    assert sum(counted) <= 20
+
+
+def test_rows_that_share_an_id_are_cut_once(spark, monkeypatch):
+    from placelens.llm import ngram_join
+
+    sizes = {}
+    monkeypatch.setattr(ngram_join, "staged", lambda df, label, keep=ngram_join.staged: (out := keep(df, label), sizes.setdefault(label, out.count()))[0])
+    rows = [(None, f"a b c d e f g h i j k l m n o p q r s {k // 2} t u v w x y z{'' if k % 2 else ' 1'}") for k in range(200)] * 2
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, count_links=False)
+    assert got.count() == 400 and sizes["set-facts"] == 200 and sizes["set-parts"] <= 400
+    with pytest.raises(ValueError, match="percent"):
+        near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string"), 2, 30)
+
+
 def test_links_are_all_counted(spark, monkeypatch):
     """Groups of many near copies, chains, copies and long texts, in one block and in several."""
     rng = random.Random(11)
@@ -381,3 +425,21 @@ def test_pipeline(spark):
     rows = out.collect()
     assert 100 < len(rows) < 200 and all(r.round_trip and r.n_tokens == len(r.ids) and r.n_chars == len(r.text) for r in rows)
     assert hashlib.sha256(b"").hexdigest()  # every text is whole: its tokens decode to it
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "long"])
+def test_shards_of_any_key_against_hashlib(spark, kind):
+    """Shards, slots and later shards of text, date and number keys, with columns named like helpers."""
+    df = spark.range(300).select(F.expr(f"CASE WHEN id = 7 THEN NULL ELSE CAST({'date_add(DATE \'2020-01-01\', CAST(id % 90 AS INT))' if kind == 'date' else 'id % 90'} AS {kind}) END").alias("k"), F.col("id").alias("_run"), F.lit("x").alias("_at"), F.lit(None).cast("int").alias("slot"))
+    rows = shard_rows(df, "k", [1.0] * 3, [1.0] * 4, blocks=8).collect()
+
+    def best(key, n):
+        return max(range(n), key=lambda i: (int(hashlib.md5(f"{i}/{'' if key is None else key}".encode()).hexdigest()[:13], 16), -i))
+
+    assert sorted(r._run for r in rows) == list(range(300)) and {r._at for r in rows} == {"x"}
+    for shard in range(3):
+        mine = sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        keys = [("" if r.k is None else str(r.k)) if kind != "long" else (-1 if r.k is None else r.k) for r in mine]
+        assert keys == sorted(keys)
+    assert all((r.shard, r.grown_shard) == (best(r.k, 3), best(r.k, 4)) for r in rows)

@@ -249,3 +249,13 @@ def test_unreadable_files_are_rows(spark, tmp_path):
     assert rows == {"good.json": (True, "Demo"), "bytes.json": (True, "\ufffd\ufffdDemo"), "broken.json.gz": (False, None)}
     lines, _ = validate_path(spark, str(tmp_path), one_per_file=False)
     assert {(r.source_file.rsplit("/")[-1], r.code) for r in lines.collect()} == {("broken.json.gz", "unreadable")}
+
+
+def test_files_of_many_chunks_keep_their_order(spark, tmp_path, monkeypatch):
+    """Lines are joined in chunks, which alone are sorted by a file's one writer; null values are empty lines."""
+    monkeypatch.setattr(writers, "LINES_PER_CHUNK", 7)
+    rows = [("a", s, i, None if i == 50 else f"{s} {i}") for s in (0, 1, 2) for i in range(100)] + [("b", 0, 0, "x"), (None, 0, 0, "y")]
+    lines = spark.createDataFrame(rows, "place_key string, section int, ordinal bigint, value string").repartition(5)
+    texts = files_of(lines, tmp_path / "out")
+    want = "".join(("" if i == 50 else f"{s} {i}") + "\n" for s in (0, 1, 2) for i in range(100))
+    assert texts == {"a": want, "b": "x\n", "__HIVE_DEFAULT_PARTITION__": "y\n"}

@@ -75,9 +75,12 @@ def write_files(
     ``LINES_PER_CHUNK`` ordinals, whose texts are joined in parallel; only chunks meet by
     stem and are sorted, with spilling. So no row holds more than a chunk, also for a
     location of any size; a file has one writer, so the largest location bounds how fast
-    a batch can be. Suited to many thousands of locations, not to hundreds of millions.
+    a batch can be. The number of tasks is set, since the cost of many small files is not
+    seen in their bytes, by which tasks would else be put together. Suited to many
+    thousands of locations, not to hundreds of millions.
     With ``dynamic``, overwriting replaces only the folders of the stems given.
     """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Stems that can't be null keep the writer from sorting anew, which would not keep the order.
     stem = F.coalesce("file_stem", F.lit("")).alias("file_stem")
     chunk = F.floor(F.col("ordinal") / LINES_PER_CHUNK).alias("_chunk")
@@ -90,7 +93,7 @@ def write_files(
     )
     (
         chunks.select("file_stem", "section", "_chunk", "value")
-        .repartition("file_stem")
+        .repartition(tasks, "file_stem")
         .sortWithinPartitions("file_stem", "section", "_chunk")
         .select("file_stem", "value")
         .write.mode(mode)

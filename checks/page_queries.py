@@ -215,14 +215,12 @@ def _place_rows(docs):
     )
 
 
-SORTED = PAGE_INFO + " WHERE conv_id % 2 = 0"
-
-
-@query("collect_places", B.with_views(PLACES, **SHOWN_VIEWS, info=SORTED, kept=_kept(2)))
+@query("collect_places", B.with_views(PLACES, **SHOWN_VIEWS, info=PAGE_INFO, kept=_kept(2)))
 def collect_places_query(t):
-    """Captured pages that announce the order to documents with at most two reviews each."""
-    found = collect_places(staged(captures(t), "captures"), t.sql(B.REQUESTS), "newest", 2)
-    return _place_rows(found.documents("newest"))
+    """Captured pages of each announced order to documents with at most two reviews each."""
+    pages, requests = staged(captures(t), "captures"), t.sql(B.REQUESTS)
+    rows = [_place_rows(collect_places(pages, requests, order, 2).documents(order)) for order in ("newest", "highest")]
+    return rows[0].unionByName(rows[1])
 
 
 @query("collect_places_uncapped", B.with_views(PLACES, **SHOWN_VIEWS, info=PAGE_INFO, kept=_kept(1000000)))

@@ -26,11 +26,13 @@ from pyspark.sql.window import Window
 
 from placelens.llm.ngram_join import repeated_runs
 from placelens.llm.storage import staged
-from placelens.llm.words import grams, in_chunks, mix
+from placelens.llm.words import grams, grams_at, in_chunks, mix
 
 LAST = 9223372036854775807
 SHARD_BYTES = 2_000_000
 SECOND = np.uint64(0xD1B54A32D192ED03)
+DIGITS, DIGIT_BITS = 2, 7
+BASE = 1 << DIGIT_BITS
 
 
 def _anchors(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -98,8 +100,8 @@ def _windows(window: int, seed: int):
                 hashes = words.hashes[words.first[i] : words.first[i + 1]]
                 starts = np.flatnonzero(np.isin(_anchors(hashes, window, seed), own))
                 if len(starts):
-                    second = grams(mix(hashes ^ SECOND), window)[starts] >> np.uint64(32)
-                    parts.append((grams(hashes, window)[starts], second, np.full(len(starts), ids[at + i]), starts))
+                    second = grams_at(mix(hashes ^ SECOND), window, starts) >> np.uint64(32)
+                    parts.append((grams_at(hashes, window, starts), second, np.full(len(starts), ids[at + i]), starts))
         if not parts:
             return WINDOWS.empty_table()
         w1, w2, d, s = (np.concatenate(x) for x in zip(*parts))
@@ -113,6 +115,19 @@ def _windows(window: int, seed: int):
     return run
 
 
+def _symbols(numbers: np.ndarray) -> tuple[int, ...]:
+    """Digits of word numbers, most significant first; each place has symbols of its own, so words meet whole.
+
+    A node of the automaton tries its branches in turn, so few branches make it fast.
+    """
+    digits = np.empty((len(numbers), DIGITS), np.int64)
+    for k in range(DIGITS - 1, 0, -1):
+        digits[:, k] = (numbers & (BASE - 1)) + k * BASE
+        numbers = numbers >> DIGIT_BITS
+    digits[:, 0] = numbers + DIGITS * BASE
+    return tuple(digits.ravel().tolist())
+
+
 class _Dictionary:
     """A shard's confirmed windows, each with its first place, and the automaton of their phrases."""
 
@@ -127,19 +142,23 @@ class _Dictionary:
     def add_phrases(self, words: list[bytes], places: np.ndarray) -> None:
         number = self.numbers
         for p in places.tolist():
-            self.automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words[p : p + self.seed]]))
+            phrase = [number.setdefault(w, len(number) + 1) for w in words[p : p + self.seed]]
+            self.automaton.add_word(_symbols(np.array(phrase)))
 
     def covered(self, doc: int, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """Which words of a document lie in a window that starts earlier somewhere."""
         n, window = len(words), self.window
-        ends = [end for end, _ in self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0))))]
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, n)
+        ends = [end // DIGITS for end, _ in self.automaton.iter(_symbols(numbers))]
+        if not ends:
+            return np.zeros(n, bool)
         reach = np.zeros(n + window + 2, np.int32)
         at = np.array(ends, np.int64) + 1 - self.seed  # windows around a phrase start at most this far before it
         np.add.at(reach, np.maximum(at - (window - self.seed), 0), 1)
         np.add.at(reach, at + 1, -1)
         starts = np.flatnonzero(np.cumsum(reach)[: n - window + 1] > 0)
-        w1 = grams(hashes, window)[starts]
-        w2 = (grams(mix(hashes ^ SECOND), window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        w1 = grams_at(hashes, window, starts)
+        w2 = (grams_at(mix(hashes ^ SECOND), window, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         edges = np.zeros(n + 1, np.int32)
         row = np.searchsorted(self.w1, w1)
         open_ = np.flatnonzero(row < len(self.w1))

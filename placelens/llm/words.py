@@ -116,3 +116,13 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(1, n):
         x = mix(x * STEP + hashes[j : j + count])
     return x
+
+
+def grams_at(hashes: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    """Those of ``grams`` that begin at ``starts``; where most are wanted, all are worked out in place of gathering."""
+    if 2 * len(starts) > len(hashes):
+        return grams(hashes, n)[starts]
+    x = mix(hashes[starts] + STEP)
+    for j in range(1, n):
+        x = mix(x * STEP + hashes[starts + j])
+    return x

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -372,3 +373,30 @@ def test_alignment_of_odd_texts(spark, monkeypatch):
     want = sorted(hashlib.sha256(r[-1].encode()).hexdigest() if r[1] else "" for r in aligned_by_force((r[0], r[1]) for r in rows))
     assert sorted(r.groups for r in hashed.collect()) == want
     assert align_tokens(docs.limit(0), FILES["byte_bpe_50k.json"], FILES["piece_bpe_32k.model"]).count() == 0
+
+
+def test_phrases_are_spelt_in_few_symbols():
+    """A node of the automaton tries its branches in turn: thousands of words must not all branch from its root (op8)."""
+    from placelens.llm import substring_dedup
+
+    count = 5000
+    spelt = substring_dedup._symbols(np.arange(1, count + 1))
+    places = [spelt[k :: substring_dedup.DIGITS] for k in range(substring_dedup.DIGITS)]
+    assert len(set(zip(*places))) == count and 0 not in spelt
+    assert max(len(set(p)) for p in places) <= 128 and not set(places[0]) & set(places[1])
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("w1", "w2", "first_id", "first_start")})
+    found = substring_dedup._Dictionary(none, 4, 2)
+    words = [b"%d" % i for i in range(count)]
+    found.add_phrases(words, np.arange(0, count - 1, 2))
+    found.automaton.make_automaton()
+    numbers = np.array([found.numbers[w] for w in words[100:104]] + [0])
+    assert [end // substring_dedup.DIGITS for end, _ in found.automaton.iter(substring_dedup._symbols(numbers))] == [1, 3]
+
+
+def test_windows_hashed_where_wanted():
+    from placelens.llm.words import grams, grams_at
+
+    hashes = np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)
+    for starts in ([], [0], [3, 7, 480], list(range(481))):
+        at = np.array(starts, np.int64)
+        assert (grams_at(hashes, 20, at) == grams(hashes, 20)[at]).all()

@@ -44,7 +44,9 @@ def text_features(data: np.ndarray, words: Words, begin: np.ndarray, end: np.nda
     """One row of ``FEATURES`` for each text between ``begin`` and ``end`` bytes. Without words all are 0."""
     kinds = CLASSES[data[begin[0] : end[-1]]]
     base = begin[0]
-    totals = {k: np.concatenate([[0], np.cumsum(kinds == k)]) for k in range(1, 7)}
+    totals = {k: np.zeros(len(kinds) + 1, np.int32) for k in range(1, 7)}
+    for k, total in totals.items():
+        np.cumsum(kinds == k, out=total[1:])
     out = np.zeros((len(begin), len(FEATURES)))
     for i, (b, e) in enumerate(zip(begin, end)):
         lo, hi = words.first[i], words.first[i + 1]

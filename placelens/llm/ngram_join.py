@@ -1,11 +1,13 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The hash order of all n-grams is the global order. It is cut into fragments, so a
-document's set falls into segments. Segments serve twice:
+document's set falls into segments. Before that, sets that can't link are left out:
+of the first n-grams of a set in hash order so many lie in any partner's first ones,
+and one with fewer that another set has too is done. Segments serve twice:
 
 * Candidates. Two sets that link differ in at most k n-grams, so of k + 1 or more
   fragments at least one is equal in both. Equal fragments meet by their hash;
-  no other pair can link.
+  no other pair can link. Buckets of the same sets tell the same, so one of them stays.
 * Counting. A pair's overlap is counted fragment by fragment, each on its own, and
   summed per pair. The decision is made on that exact sum.
 
@@ -53,6 +55,10 @@ class Rule(NamedTuple):
     def largest_partner(self, size: int) -> int:
         return size * 100 // self.percent
 
+    def least_shared(self, size: int) -> int:
+        """Fewest n-grams that a set of this size shares with a partner; no partner is smaller."""
+        return -(-size * self.percent // 100)
+
     def links(self, overlap: Column, left: Column, right: Column) -> Column:
         return overlap * 100 >= (left + right - overlap) * self.percent
 
@@ -70,6 +76,17 @@ def _fragments(rule: Rule, bounds: list[int], c: int) -> tuple[int, int]:
     return k + 1 + (2 if k >= 8 else 0), k
 
 
+def _first_shared(rule: Rule, size: int) -> int:
+    """How many of the n-grams that a set of this size shares with a partner its first ones must hold; grows with size."""
+    shared = rule.least_shared(size)
+    return min(shared, (size - shared) // 2 + 1)
+
+
+def _first_grams(rule: Rule, size: int) -> int:
+    """So many n-grams in order, of which all but ``_first_shared`` may be a set's own."""
+    return size - rule.least_shared(size) + _first_shared(rule, size)
+
+
 def _cuts(ordered: np.ndarray, pieces: int) -> np.ndarray:
     """Where the segments of an ordered set begin, and its length."""
     part = ((ordered >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
@@ -116,12 +133,25 @@ def _half(node: bytes | None) -> int | None:
     return int.from_bytes(node[:8], "little", signed=True) if node else None
 
 
+def _new_to_task(sets, seen: set):
+    """Of what ``_each_set`` gives, sets with n-grams, without copies that this task has had lately."""
+    for found in sets:
+        node = found[3]
+        if node is None or node in seen:
+            continue
+        if len(seen) >= SEEN_KEYS:
+            seen.clear()
+        seen.add(node)
+        yield found
+
+
 def _noded(rule: Rule):
-    """(node, half, text) of every text with words."""
+    """(node, half, text) of texts with words; every set comes at least once."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            found = [(node, _half(node), at) for _, at, _, node in _each_set(iter([batch]), rule.words) if node]
+            found = [(node, _half(node), at) for _, at, _, node in _new_to_task(_each_set(iter([batch]), rule.words), seen)]
             nodes, halves, rows = zip(*found) if found else ((), (), ())
             texts = batch.column("text").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(halves, pa.int64()), texts], ["node", "half", "text"])
@@ -132,19 +162,44 @@ def _noded(rule: Rule):
 def _members(rule: Rule):
     def run(batches):
         for batch in batches:
-            nodes, halves, sizes = [], [], []
+            nodes, halves, sizes, least = [], [], [], []
             for _, _, own, node in _each_set(iter([batch]), rule.words):
                 nodes.append(node)
                 halves.append(_half(node))
                 sizes.append(len(own))
+                # A partner's first n-grams hold as many shared ones as its own size asks for.
+                least.append(_first_shared(rule, rule.least_shared(len(own))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(halves, pa.int64()), pa.array(sizes, pa.int64())],
-                ["id", "node", "half", "n"],
+                [batch.column("id"), pa.array(nodes, pa.binary()), *(pa.array(x, pa.int64()) for x in (halves, sizes, least))],
+                ["id", "node", "half", "n", "least"],
             )
 
     return run
 
 
+def _firsts(rule: Rule):
+    """(n-gram, first half of the node) of each set's first n-grams."""
+
+    def run(batches):
+        seen, out, keys, count = set(), [], [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(keys))], ["gram", "half"])
+
+        for _, _, own, node in _new_to_task(_each_set(batches, rule.words), seen):
+            first = own[: _first_grams(rule, len(own))]
+            out.append(first)
+            keys.append(np.full(len(first), _half(node)))
+            count += len(first)
+            if count >= 200_000:
+                yield flush()
+                out, keys, count = [], [], 0
+        if count:
+            yield flush()
+
+    return run
+
+
 def _signatures(rule: Rule):
     """(signature of a segment, first half of the node) for each size class a set can meet partners in.
 
@@ -173,14 +228,9 @@ def _signatures(rule: Rule):
                     break
 
     def run(batches):
-        bounds, seen = _class_bounds(1000), set()
+        bounds = _class_bounds(1000)
         out, keys, count = [], [], 0
         for _, _, own, node in _each_set(batches, rule.words):
-            if not len(own) or node in seen:
-                continue
-            if len(seen) >= SEEN_KEYS:
-                seen.clear()
-            seen.add(node)  # copies that this task has already listed
             if rule.largest_partner(len(own)) >= bounds[-2]:
                 bounds = _class_bounds(4 * len(own) + 1000)
             half = _half(node)
@@ -272,6 +322,27 @@ def _parts(rule: Rule):
     return run
 
 
+def _may_have_partners(texts: DataFrame, members: DataFrame, rule: Rule, parts_n: int) -> DataFrame:
+    """(half) of sets of whose first n-grams enough are first ones of other sets too. All others link with none.
+
+    Two linking sets share at least ``least_shared`` of each one's size. So the first n-grams
+    of each hold the first ``_first_shared`` of the shared ones, and both hold as many as the
+    smaller set must.
+    """
+    firsts = texts.mapInArrow(_firsts(rule), "gram long, half long").repartition(parts_n, "gram").sortWithinPartitions("gram", "half")
+    shared = staged(firsts.mapInArrow(repeated_runs, "gram long, half long").groupBy("half").agg(F.count("*").alias("shared")), "set-shared")
+    least = members.where("n > 0").groupBy("half").agg(F.min("least").alias("least"))
+    return shared.join(least.hint("merge"), "half").where("shared >= least").select("half")
+
+
+def _one_of_each(buckets: DataFrame) -> DataFrame:
+    """Of buckets that hold the same sets, one. Near copies meet in most of their segments, but one meeting tells as much."""
+    held = [F.bit_xor(F.xxhash64(F.lit(k), F.col("half"))).alias(f"held_{k}") for k in (1, 2)]
+    held = buckets.groupBy("sig").agg(*held, F.count("*").alias("sets"))
+    one = held.groupBy("held_1", "held_2", "sets").agg(F.min("sig").alias("sig")).select("sig")
+    return staged(buckets.join(one.hint("merge"), "sig", "left_semi"), "set-buckets")
+
+
 def _counted(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (left, right, n_left, n_right, pieces) that link: overlaps per fragment, summed per pair.
 
@@ -371,7 +442,7 @@ def _link_counts(groups: DataFrame, facts: DataFrame, parts: DataFrame, rule: Ru
 
 
 class Linked(NamedTuple):
-    members: DataFrame  # id, node, n: every row
+    members: DataFrame  # id, node, half, n, least: every row
     links: DataFrame  # left, right, overlap, n_left, n_right: links that span every component, not all of them
     groups: DataFrame  # node, group: every node with a link; group is a node
     counts: DataFrame | None  # node, n_links: every node with a link, all its links counted
@@ -391,17 +462,22 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         raise ValueError("percent must lie in [50, 100] and words be at least 1")
     rule = Rule(words, percent)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = staged(texts.mapInArrow(_members(rule), texts.select("id").schema.add("node", "binary").add("half", "long").add("n", "long")), "set-members")
+    schema = texts.select("id").schema.add("node", "binary").add("half", "long").add("n", "long").add("least", "long")
+    members = staged(texts.mapInArrow(_members(rule), schema), "set-members")
 
-    signatures = texts.select("text").mapInArrow(_signatures(rule), "sig long, half long")
     parts_n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    near = _may_have_partners(texts.select("text"), members, rule, parts_n)
+    # Each set is taken once, from any row that has it: most copies go before they move.
+    # What is wanted grows with the input, so it is never broadcast, however little it is here.
+    texts_of = texts.select("text").mapInArrow(_noded(rule), "node binary, half long, text string")
+    texts_of = texts_of.join(near.hint("merge"), "half", "left_semi").dropDuplicates(["half", "node"])
+    texts_of = staged(texts_of.select("half", "text"), "set-texts")
+
+    signatures = texts_of.select("text").mapInArrow(_signatures(rule), "sig long, half long")
     ordered = signatures.repartition(parts_n, "sig").sortWithinPartitions("sig", "half")
-    buckets = staged(ordered.mapInArrow(repeated_runs, "sig long, half long"), "set-buckets")
+    buckets = _one_of_each(staged(ordered.mapInArrow(repeated_runs, "sig long, half long"), "set-repeats"))
 
     wanted = buckets.select("half").distinct()
-    # Each set is taken once, from any row that has it: copies go before they move.
-    texts_of = texts.select("text").mapInArrow(_noded(rule), "node binary, half long, text string").dropDuplicates(["node"])
-    # What is wanted grows with the input, so it is never broadcast, however little it is here.
     picked = texts_of.join(wanted.hint("merge"), "half", "left_semi").select("text", "half")
     cut = picked.mapInArrow(_parts(rule), "node binary, half long, n long, level int, parity array<long>, parity_above array<long>, pieces int, piece int, grams array<long>")
     parts = staged(cut, "set-parts")

@@ -197,6 +197,34 @@ def test_rows_that_share_an_id_are_cut_once(spark, monkeypatch):
         near_duplicates(spark.createDataFrame(rows[:2], "doc_id long, text string"), 2, 30)
 
 
+def test_only_sets_that_may_link_are_compared(spark, monkeypatch):
+    """Texts of a common passage alone are left out, and near copies that share many segments meet in one bucket."""
+    from placelens.llm import ngram_join
+
+    sizes = {}
+    monkeypatch.setattr(ngram_join, "staged", lambda df, label, keep=ngram_join.staged: (out := keep(df, label), sizes.setdefault(label, out.count()))[0])
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(20)]
+    texts = [" ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(180)]) for _ in range(60)]
+    texts += [f"{t} end" for t in texts[:3]] + texts[3:6]
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85, count_links=False)
+    assert {r.id: r.component_id for r in found.collect()} == {k: k if k < 60 else k - 60 for k in range(66)}
+    assert sizes["set-placed"] == 6 and sizes["set-texts"] == 6
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
+def test_first_grams_of_linking_sets_meet(percent):
+    """Also where the two sets share as few n-grams as a link needs, and those come last in the order."""
+    from placelens.llm.ngram_join import Rule, _first_grams, _first_shared
+
+    rule = Rule(4, percent)
+    for a in (*range(1, 90), 997, 1000):
+        for b in range(a, rule.largest_partner(a) + 1):
+            overlap = -(-percent * (a + b) // (100 + percent))
+            met = min(overlap, *(_first_grams(rule, n) - (n - overlap) for n in (a, b)))
+            assert met >= max(_first_shared(rule, rule.least_shared(n)) for n in (a, b)) > 0
+
+
 def test_links_are_all_counted(spark, monkeypatch):
     """Groups of many near copies, chains, copies and long texts, in one block and in several."""
     rng = random.Random(11)

@@ -212,6 +212,23 @@ def test_only_sets_that_may_link_are_compared(spark, monkeypatch):
     assert sizes["set-placed"] == 6 and sizes["set-texts"] == 6
 
 
+def test_near_dedup_leaves_texts_without_partners_alone(spark, monkeypatch):
+    """The pipeline's step cuts only those into segments that may link."""
+    import corpus_pipeline
+    from placelens.llm import ngram_join
+
+    sizes = {}
+    monkeypatch.setattr(ngram_join, "staged", lambda df, label, keep=ngram_join.staged: (out := keep(df, label), sizes.setdefault(label, out.count()))[0])
+    rng = random.Random(6)
+    texts = [" ".join([f"c{k}" for k in range(20)] + [f"w{rng.randrange(10**9)}" for _ in range(180)]) for _ in range(40)]
+    texts += [f"{t} end" for t in texts[:2]]
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)] + [(None, texts[3], "en", "web", 1), (50, None, "en", "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [*range(40), 50]
+    assert sizes["set-placed"] == 4 and sizes["set-texts"] == 4
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
 def test_first_grams_of_linking_sets_meet(percent):
     """Also where the two sets share as few n-grams as a link needs, and those come last in the order."""
